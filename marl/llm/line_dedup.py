@@ -59,7 +59,7 @@ def _postings(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.
             own.discard(None)
             ids += [doc_id] * len(own)
             keys += own
-        k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        k = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], names=["doc_id", "k1", "k2"])
 
 
@@ -158,7 +158,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """`rows` (doc_id, text, ...) with the array `gone` of 128-bit keys, through a join on doc_id that takes nulls as equal."""
     half = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    packed = gone.groupBy("doc_id").agg(F.collect_set(F.concat(F.reverse(half("k1")), F.reverse(half("k2")))).alias("gone"))
+    packed = gone.groupBy("doc_id").agg(F.collect_set(F.concat(half("k1"), half("k2"))).alias("gone"))
     return rows.join(packed.withColumnRenamed("doc_id", "gone_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
 
 
@@ -198,7 +198,8 @@ class LineIndex:
         """(doc_id, n_lines, n_dropped, kept) of documents that the index holds; `kept` is UTF-8."""
         gone = drops(self.posted, self.counted, self.min_docs)
         rows = _with_gone(common.texts(docs, id_col, text_col), gone)
-        return rows.mapInArrow(lambda b: _cleaned(b, self.min_chars), "doc_id long, n_lines long, n_dropped long, kept binary")
+        min_chars = self.min_chars
+        return rows.mapInArrow(lambda b: _cleaned(b, min_chars), "doc_id long, n_lines long, n_dropped long, kept binary")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
