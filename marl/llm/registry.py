@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marl.llm import exact_dedup, line_dedup, near_dup
+from marl.llm import exact_dedup, fingerprint, line_dedup, mixing, near_dup
 
-_MODULES = (line_dedup, exact_dedup, near_dup)
+_MODULES = (line_dedup, mixing, exact_dedup, fingerprint, near_dup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
