@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marl.llm import bpe, chat, exact_dedup, fingerprint, line_dedup, mixing, near_dup, secrets, warc
+from marl.llm import bpe, chat, exact_dedup, fingerprint, langid, line_dedup, mixing, near_dup, secrets, warc
 
-_MODULES = (line_dedup, warc, mixing, exact_dedup, bpe, fingerprint, chat, secrets, near_dup)
+_MODULES = (langid, line_dedup, warc, mixing, exact_dedup, bpe, fingerprint, chat, secrets, near_dup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
