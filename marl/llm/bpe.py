@@ -209,23 +209,27 @@ def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    """Encodes, decodes the ids, and gives digests of both."""
+def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Encodes, decodes the ids, and gives digests of both, with the ids if they are wanted."""
     own = codec(path, pattern)
     decimal = {i: str(i) for i in own.bytes}
     for batch in common.rows_of(batches):
         texts = [(t or b"").decode("utf-8", "replace") for t in common.as_bytes(batch.column("text"))]
         n, shown, back = [], [], []
-        for ids in own.encode(texts):
+        all_ids = own.encode(texts)
+        for ids in all_ids:
             n.append(len(ids))
             shown.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
             back.append(hashlib.sha256(own.decode(ids)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(shown, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+        if keep_ids:
+            out["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """DIGESTS for every row: of its ids, joined by commas, and of the bytes that the ids decode to."""
-    return _mapped(common.texts(docs, id_col, text_col), lambda b: _digests(b, path, pattern), DIGESTS)
+def digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """DIGESTS for every row: of its ids, joined by commas, and of the bytes that the ids decode to; with `keep_ids` also `ids`."""
+    return _mapped(common.texts(docs, id_col, text_col), lambda b: _digests(b, path, pattern, keep_ids), DIGESTS + ", ids array<int>" * keep_ids)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

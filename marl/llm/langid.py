@@ -29,6 +29,8 @@ HELD = 1
 #: Bounds of the sample that the network is fitted on.
 PER_LANGUAGE, PER_DOCUMENT = 300, 12
 UNDETERMINED = "und"
+#: A filter keeps documents from this score on; clean short texts score above it.
+LEAST = 0.3
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -100,20 +102,31 @@ def predict(texts: list[bytes | None], langs: list[str], weights: list[np.ndarra
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], langs: list[str], weights: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Replaces `text` by lang_pred and score, or appends them where `keep` columns come along."""
     for batch in common.rows_of(batches):
-        names, scores = predict(common.as_bytes(batch.column("__text")), langs, weights)
-        rest = [n for n in batch.schema.names if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(names, pa.string()), pa.array(scores)], names=[*rest, "lang_pred", "score"])
+        names, scores = predict(common.as_bytes(batch.column("text")), langs, weights)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+
+def _kept(batches: Iterator[pa.RecordBatch], text_at: int, langs: list[str], weights: list[np.ndarray], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in common.rows_of(batches):
+        names, scores = predict(common.as_bytes(batch.column(text_at)), langs, weights)
+        yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)]))
 
 
 def identify(docs: DataFrame, langs: list[str], weights: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """PREDICTED for every row, by a fitted network."""
     common.bounded_batches(docs.sparkSession)
-    rows = common.texts(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("__text"))
+    rows = common.texts(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(lambda b: _predicted(b, langs, weights), PREDICTED)
 
 
+def keep_determined(docs: DataFrame, langs: list[str], weights: list[np.ndarray], least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose language is determined with a score of `least` or more."""
+    common.bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda b: _kept(b, at, langs, weights, least), docs.schema)
+
+
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return identify(docs, *fit(docs))

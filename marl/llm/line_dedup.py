@@ -202,6 +202,18 @@ class LineIndex:
         return rows.mapInArrow(lambda b: _cleaned(b, min_chars), "doc_id long, n_lines long, n_dropped long, kept binary")
 
 
+    def clean_rows(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The rows of `docs`, all columns, with the lines that go taken out of the text (null: empty)."""
+        rest = [c for c in docs.columns if c != text_col]
+        packed = F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), packed)
+        rows = _with_gone(rows, drops(self.posted, self.counted, self.min_docs))
+        min_chars, kind = self.min_chars, rows.schema["rest"].dataType.simpleString()
+        out = rows.mapInArrow(lambda b: _cleaned(b, min_chars), f"doc_id long, rest {kind}, n_lines long, n_dropped long, kept binary")
+        text = F.decode("kept", "UTF-8").alias(text_col)
+        return out.select(*(text if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns))
+
+
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept) for every row of `docs`; see the module's text for edge cases."""
     return LineIndex(docs.sparkSession, min_chars, min_docs).insert(docs, id_col, text_col).clean(docs, id_col, text_col)

@@ -248,6 +248,13 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", te
     return _grouped(fps, radius)
 
 
+def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that carry the smallest doc_id of their group; rows that repeat a doc_id stand or fall together."""
+    grouped = near_dedup(docs, radius, id_col, text_col)
+    first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
+    return docs.join(first.hint("merge"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__first")), "left_semi")
+
+
 def _grouped(fps: DataFrame, radius: int) -> DataFrame:
     rooted = components(links(pivot_table(fps), radius)).withColumnRenamed("node", "fp")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")

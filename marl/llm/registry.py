@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from marl.llm import bpe, chat, exact_dedup, fingerprint, langid, line_dedup, mixing, near_dup, secrets, warc
 
 _MODULES = (langid, line_dedup, warc, mixing, exact_dedup, bpe, fingerprint, chat, secrets, near_dup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+    return {name: f for module in _MODULES for name, f in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
