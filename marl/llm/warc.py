@@ -208,4 +208,16 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_warc": op3_warc}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first, sha1(html) AS h FROM p),
+r AS (SELECT *, page_id IS DISTINCT FROM first AND first IS NOT NULL AS again FROM f)
+SELECT page_id, strlen(html) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, ((j // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (j % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
+FROM r
+"""
+}
