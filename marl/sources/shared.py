@@ -1,4 +1,8 @@
-"""Written tables in the folder that driver and executors share: how iterative plans cut their lineage."""
+"""Written tables in the folder that driver and executors share: how iterative plans cut their lineage.
+
+The folder is the one that the cluster names in spark.checkpoint.dir. Tables stay until `forget`, as results that
+are still to be computed may read them.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` as a table that survives lost executors and has no lineage."""
-    df.write.parquet(path := f"{shared_dir(df.sparkSession)}/marl/cut-{uuid.uuid4().hex}")
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder."""
+    _written.append(path := f"{shared_dir(spark)}/marl/{tag}-{uuid.uuid4().hex}")
+    return path
+
+
+def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """`df` as a table that survives lost executors, has no lineage, and is computed once."""
+    df.write.parquet(path := scratch(df.sparkSession, tag))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes what this process has written to the shared folder, once results are stored elsewhere; how many paths."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n

@@ -5,14 +5,13 @@ Each takes a streaming (or batch) DataFrame of events; `run_once` drives one to
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marl.operators import sketches
-from marl.sources.shared import shared_dir
+from marl.sources.shared import scratch
 
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -57,11 +56,11 @@ def flajolet_martin(df: DataFrame, size: int = 100) -> DataFrame:
 def run_once(df: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and gives its result as a table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marl/stream-{uuid.uuid4().hex}"
+    path, state = scratch(spark, "stream"), scratch(spark, "stream-state")
     if mode == "append":
-        query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").outputMode("append").trigger(availableNow=True).start()
+        query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     else:
         write: Callable[[DataFrame, int], None] = lambda rows, n: rows.write.mode("overwrite").parquet(path)
-        query = df.writeStream.foreachBatch(write).option("checkpointLocation", path + "-state").outputMode(mode).trigger(availableNow=True).start()
+        query = df.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(path)

@@ -250,3 +250,10 @@ def test_streaming_equals_batch(spark, sf_dir):
     whole = got(streams.tumbling(batch), "start", "event_type", "n")
     assert late and set(late) <= set(whole)  # the last window stays open
     assert got(streams.run_once(streams.first_seen(streams.events(spark, sf_dir)))) == got(batch.select("user_id").distinct())
+
+
+def test_written_tables_can_be_forgotten(spark):
+    from marl.sources import shared
+
+    made = shared.cut(spark.range(3))
+    assert made.count() == 3 and shared.forget(spark) >= 1 and shared.forget(spark) == 0
