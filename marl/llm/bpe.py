@@ -24,18 +24,18 @@ import codecs
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import models
 
 from marl.llm import common
 
-#: Distinct pieces that a worker keeps; beyond it starts anew.
-PIECES = 400_000
+#: Distinct pieces that a worker keeps; beyond it only the first met, as a rule the frequent ones, stay.
+PIECES, FIRST = 300_000, 120_000
 
 ENCODED = "doc_id long, ids array<int>"
 OFFSETS = "doc_id long, ids array<int>, starts array<int>, ends array<int>"
@@ -95,8 +95,8 @@ class Codec:
             if len(cuts) > 1:
                 for chain_ in chains(token):
                     risky.add_word(chain_.decode("latin-1"), True)
-        self.model = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0)
+        self.character = dict(enumerate(table))
         self.characters = {r: shown[t] for t, r in ranks.items()}
         byte_of = {c: b for b, c in enumerate(table)}
         self.bytes = {r: bytes(byte_of[c] for c in s) for r, s in self.characters.items()}
@@ -104,11 +104,10 @@ class Codec:
         self.risky = risky if len(risky) else None
         self.pieces: dict[str, tuple[int, ...]] = {}
 
-    def _risky_among(self, pieces: list[str]) -> set[int]:
-        """Positions of the pieces in which a token overlaps itself: one search through all of them."""
+    def _risky_among(self, data: list[str]) -> set[int]:
+        """Positions of the pieces, bytes as code points, in which a token overlaps itself: one search through all of them."""
         if self.risky is None:
             return set()
-        data = [p.encode().decode("latin-1") for p in pieces]
         ends = list(accumulate(map(len, data)))
         found = set()
         for at, _ in self.risky.iter("".join(data)):  # a hit across two pieces costs a needless merge, no more
@@ -118,21 +117,23 @@ class Codec:
     def learn(self, new: list[str]) -> None:
         """Encodes pieces that aren't kept yet."""
         if len(self.pieces) + len(new) > PIECES:
-            self.pieces.clear()
-        for piece, encoding in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[piece] = tuple(encoding.ids)
-        for i in self._risky_among(new):
+            self.pieces = dict(islice(self.pieces.items(), FIRST))
+        data = [p.encode().decode("latin-1") for p in new]
+        tokens, character = self.model.tokenize, self.character
+        for piece, raw in zip(new, data, strict=True):
+            self.pieces[piece] = tuple([t.id for t in tokens(raw.translate(character))])
+        for i in self._risky_among(data):
             self.pieces[new[i]] = tuple(merged(new[i].encode(), self.ranks))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         out = []
         for text in texts:
             found = self.split.findall(text)
-            new = list({p for p in found if p not in self.pieces})
-            if new:
-                self.learn(new)
-                if any(p not in self.pieces for p in set(found)):  # the store was emptied
-                    self.learn(list(set(found)))
+            distinct = set(found)
+            if new := distinct.difference(self.pieces):
+                self.learn(list(new))
+                if dropped := distinct.difference(self.pieces):
+                    self.learn(list(dropped))
             out.append(list(chain.from_iterable(map(self.pieces.__getitem__, found))))
         return out
 
