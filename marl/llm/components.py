@@ -11,20 +11,33 @@ from marl.llm import common
 MAX_ROUNDS = 200
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, own_too: bool, total: int) -> DataFrame:
+    """Edges (u, v) with m, the least node around u. Hubs get it by broadcast: a hub is on more than an even share
+    of `total` edges, so there are fewer hubs than partitions, and no hub's edges meet in one task.
+    """
+    n = common.partitions(edges.sparkSession)
+    around = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    if own_too:
+        around = around.withColumn("m", F.least("u", "m"))
+    many = total // n + 1
+    hubs = around.where(F.col("degree") >= many).select("u", F.col("m").alias("hub_m"))
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    at_hubs = marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m"))
+    others = around.where(F.col("degree") < many).select("u", "m")
+    return at_hubs.unionByName(marked.where("hub_m is null").select("u", "v").join(others.hint("merge"), "u"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the least node around it."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both, True, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least.hint("merge"), "u")
-    moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    known = _with_least(down, False, total)
+    return known.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,15 +47,15 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v); the root is the least node of its component and maps to itself.
 
-    Loops and repeated edges are harmless; no edges give no rows. A hub's neighbours meet only in
-    aggregates with partial sums and in joins that AQE splits.
+    Loops and repeated edges are harmless; no edges give no rows.
     """
     now = common.materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "stars")
     state = _state(now)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        now = common.materialise(_small_star(_large_star(now)), "stars")
+        wide = common.materialise(_large_star(now, state[0]), "stars")
+        now = common.materialise(_small_star(wide, state[0]), "stars")
         if (after := _state(now)) == state:
             break
         state = after
