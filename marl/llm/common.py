@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marl.sources.shared import cut, scratch
+
+__all__ = ["WHITE", "WHITE_BYTES", "as_bytes", "bounded_batches", "materialise", "partitions", "rows_of", "scratch", "table", "texts"]
+
 #: The six ASCII white-space characters, `[\x20\x09-\x0D]`.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_BYTES = WHITE.encode()
 
 #: Rows and bytes of one Arrow batch: long texts must not meet in a worker by the ten thousand.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
-
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="marl-"))
-    return _own_dir[0]
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/marl/{tag}-{uuid.uuid4().hex}"
-
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """`df` as a written table: cuts the lineage, survives lost executors, and is computed once."""
-    spark = df.sparkSession
-    df.write.parquet(path := scratch(spark, tag))
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, tag)
 
 
 def bounded_batches(spark: SparkSession) -> None:
