@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marl.functions import scalars
 from marl.operators import cluster, graph, itemsets, recommend, relational, similarity, sketches
 from marl.operators.ranking import dense_index
+from marl.plans import graphs
 from marl.sources import readers, sinks
 
 
@@ -139,6 +140,31 @@ def test_modularity_and_cuts(spark):
     assert got(graph._search_large(edges, nodes, 1, "canonical")) == got(graph._search_small(edges, nodes, 1, "canonical"))
 
 
+def test_girvan_newman_query_cuts_every_edge(spark, monkeypatch):
+    cliques = [(c * 10 + a, c * 10 + b) for c in (0, 1) for a in range(10) for b in range(a + 1, 10)]
+    across = [(a, 10 + b) for a in range(10) for b in range(10) if (a + b) % 5 < 2]
+    assert len(across) == 40  # no cut of the first 39 can part the cliques
+    edges = spark.createDataFrame(sorted(cliques + across), "src long, dst long")
+    monkeypatch.setattr(graphs, "_edges", lambda spark, sf_dir, least=graphs.LEAST: edges if least == graphs.LEAST else edges.limit(0))
+    assert got(graphs.girvan_newman(spark, "")) == [(v, v // 10 * 10) for v in range(20)]
+
+
+@pytest.mark.parametrize("steps", [0, graph.LOCAL_STEPS])
+def test_cuts_change_their_component_only(spark, monkeypatch, steps):
+    rng = random.Random(4)
+    every = sorted({(a, b) for a, b in (sorted(rng.sample(range(12), 2)) for _ in range(22))} | {(20, 21), (21, 22)})
+    left, best, best_q = list(every), None, -2.0
+    for _ in range(len(every) + 1):
+        labels = graph._labels(every, left)
+        if (q := graph._score(every, left, labels, "canonical")) > best_q + 1e-12:
+            best, best_q = labels, q
+        if left:
+            flow = graph._flow(sorted({v for e in every for v in e}), graph._around(left))
+            left.remove(min(flow, key=lambda e: (-round(flow[e], 9), e)))
+    monkeypatch.setattr(graph, "LOCAL_STEPS", steps)
+    assert dict(got(graph.girvan_newman(spark.createDataFrame(every, "src long, dst long")))) == best
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "src long, dst long")
     assert dict(got(graph.components(edges))) == {**dict.fromkeys(range(21), 0), 50: 50, 51: 50}
