@@ -3,7 +3,8 @@
 A rank file (one base64 token and its rank a line) becomes a model of that library: bytes map to the visible
 characters that byte-level models use, and every way to put a token together from two others is a merge, in
 the order of the ranks, so merging by pair equals merging by rank. Text is split by the pattern; each distinct
-piece is encoded once by a worker and kept up to `PIECES`, so a batch costs look-ups.
+piece is encoded once by a worker and kept, so a batch costs look-ups; a store beyond `PIECES` is cut back, but only
+between texts, so a text of any number of pieces has all of its own.
 
 Where merges of one rank overlap, the leftmost pair must win, whereas the library prefers the pair listed
 first. Only a token that overlaps itself has such merges; pieces holding one are merged by `merged` below, the
@@ -34,7 +35,7 @@ from tokenizers import models
 
 from marl.llm import common
 
-#: Distinct pieces that a worker keeps; beyond it only the first met, as a rule the frequent ones, stay.
+#: Distinct pieces that a worker keeps from text to text; beyond it only the first met, as a rule the frequent ones, stay.
 PIECES, FIRST = 300_000, 120_000
 
 ENCODED = "doc_id long, ids array<int>"
@@ -114,27 +115,25 @@ class Codec:
             found.add(bisect.bisect_right(ends, at))
         return found
 
-    def learn(self, new: list[str]) -> None:
-        """Encodes pieces that aren't kept yet."""
-        if len(self.pieces) + len(new) > PIECES:
-            self.pieces = dict(islice(self.pieces.items(), FIRST))
+    def learn(self, new: list[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of pieces that aren't kept yet."""
         data = [p.encode().decode("latin-1") for p in new]
         tokens, character = self.model.tokenize, self.character
-        for piece, raw in zip(new, data, strict=True):
-            self.pieces[piece] = tuple([t.id for t in tokens(raw.translate(character))])
+        learnt = {piece: tuple([t.id for t in tokens(raw.translate(character))]) for piece, raw in zip(new, data, strict=True)}
         for i in self._risky_among(data):
-            self.pieces[new[i]] = tuple(merged(new[i].encode(), self.ranks))
+            learnt[new[i]] = tuple(merged(new[i].encode(), self.ranks))
+        return learnt
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         out = []
         for text in texts:
             found = self.split.findall(text)
-            distinct = set(found)
-            if new := distinct.difference(self.pieces):
-                self.learn(list(new))
-                if dropped := distinct.difference(self.pieces):
-                    self.learn(list(dropped))
-            out.append(list(chain.from_iterable(map(self.pieces.__getitem__, found))))
+            known = self.pieces
+            if new := set(found).difference(known):
+                known.update(self.learn(list(new)))
+            out.append(list(chain.from_iterable(map(known.__getitem__, found))))
+            if len(known) > PIECES:  # only now that the text is done
+                self.pieces = dict(islice(known.items(), FIRST))
         return out
 
     def offsets(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:

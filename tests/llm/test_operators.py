@@ -365,6 +365,17 @@ def test_bpe_forgets_pieces(tokens, monkeypatch):
     assert own.encode(texts) == [tokens[1].encode_ordinary(t) for t in texts]
 
 
+def test_bpe_text_of_more_pieces_than_are_kept(tokens, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 20)
+    monkeypatch.setattr(bpe, "FIRST", 5)
+    own = bpe.Codec(tokens[0].ranks, corpus_pipeline.PATTERN)
+    full = " ".join(f"{chr(97 + i)}q" for i in range(19))
+    long = full + " " + " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}z" for i in range(60))
+    for text in (full, long, full, long):
+        assert own.encode([text]) == [tokens[1].encode_ordinary(text)]
+        assert len(own.pieces) <= bpe.PIECES
+
+
 def test_bpe_frames(spark, docs, tokens):
     ids = bpe.encode(docs, corpus_pipeline.RANKS, corpus_pipeline.PATTERN, offsets=True)
     assert ids.columns == ["doc_id", "ids", "starts", "ends"]
