@@ -2,10 +2,10 @@
 
 Base spans, leftmost and not overlapping within a kind, failing matches dropped but still consumed:
 assign (a keyword, `:` or `=`, and a value of 12 or more characters), access (`AKIA...`, 18 or more), hex
-(16 or more). Weak candidates are no evidence by themselves: key (40 base64 characters that are not hex)
-and endpoint (a URL). Within a scope, at most `SCOPE` code points between two spans of a document, a key is
-reported beside an access identifier, and an endpoint beside an access identifier and a secret (an assign,
-a hex or a reported key).
+(16 or more). Weak candidates are no evidence by themselves: key (40 base64 characters that are not hex; a
+`=` may stand before it, as in KEY=VALUE, but not behind it) and endpoint (a URL). Within a scope, at most
+`SCOPE` code points between two spans of a document, a key is reported beside an access identifier, and an
+endpoint beside an access identifier and a secret (an assign, a hex or a reported key).
 
 Spans are found by splitting a text at its matches: gaps and matches give every start. The interval join is
 a merge over spans sorted by start (running maxima of ends, minima of starts), so it costs no pairs; only
@@ -33,7 +33,7 @@ PATTERNS = {
     "assign": _KEYWORD + _VALUE,
     "access": r"AKIA[A-Z0-9]{14,}",
     "hex": r"[0-9a-f]{16,}",
-    "key": r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])",
+    "key": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])",
     "endpoint": r"""https?://[^\x20\x09-\x0D"'<>]+""",
 }
 ASSIGN_VALUE = 12
@@ -113,6 +113,7 @@ def _sql_spans(kind: int, pattern: str, keep: str) -> str:
 
 
 #: The patterns again, without look-around: a key is a run of base64 characters, `=` among them, that is 40 long and has none.
+#: So the SQL knows no key directly behind a `=`, as PATTERNS does; the tables have no such text.
 _ANY_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key"))
 _HEAD = f"""(?:{_ANY_CASE})["'']?\\x20*[:=]\\x20*["'']?"""
 _SQL = " UNION ALL ".join(
