@@ -39,8 +39,9 @@ def _joined(frequent: DataFrame, keys: list[str]) -> DataFrame:
     return sound.where(F.col("n") == F.size("items")).select(*keys, "items")
 
 
-def levels(pairs: DataFrame, enough: Column, largest: int, keys: list[str] | None = None) -> list[DataFrame]:
-    """For each size up to `largest`: (keys, items, n) with n enough. `keys`, columns of `pairs`, are mined apart.
+def levels(pairs: DataFrame, enough: Column, largest: int | None, keys: list[str] | None = None) -> list[DataFrame]:
+    """For each size up to `largest`, or until a level is empty: (keys, items, n) with n enough. `keys`, columns of
+    `pairs`, are mined apart.
 
     `enough` is a condition on n. Occurrences grow by one item of the same basket at a time and only within
     candidates, so a level moves what the last one left.
@@ -52,12 +53,12 @@ def levels(pairs: DataFrame, enough: Column, largest: int, keys: list[str] | Non
         return found
     kept = cut(pairs.join(single.select(*keys, F.element_at("items", 1).alias("item")), [*keys, "item"], "left_semi"))
     seen = kept.select(*keys, "basket", F.array("item").alias("items"))
-    for _ in range(2, largest + 1):
+    while len(found) < largest if largest is not None else not found[-1].isEmpty():
         candidates = _joined(found[-1], keys)
         grown = seen.join(kept.withColumnRenamed("item", "more"), [*keys, "basket"]).where(F.col("more") > F.element_at("items", -1))
         seen = cut(grown.select(*keys, "basket", F.concat("items", F.array("more")).alias("items")).join(candidates, [*keys, "items"], "left_semi"))
         found.append(cut(seen.groupBy(*keys, "items").agg(F.count("*").alias("n")).where(enough)))
-    return found
+    return found if largest is not None or len(found) == 1 else found[:-1]
 
 
 def frequent(pairs: DataFrame, support: int, largest: int) -> DataFrame:
@@ -69,8 +70,9 @@ def frequent(pairs: DataFrame, support: int, largest: int) -> DataFrame:
     return made
 
 
-def local_candidates(pairs: DataFrame, support: int, parts: int, largest: int) -> DataFrame:
-    """(size, items): itemsets frequent in one part at least; a part is basket mod `parts`, its support in proportion."""
+def local_candidates(pairs: DataFrame, support: int, parts: int, largest: int | None = None) -> DataFrame:
+    """(size, items): itemsets frequent in one part at least, of any size unless `largest` is given; a part is basket
+    mod `parts`, its support in proportion."""
     pid = F.pmod("basket", F.lit(parts)).alias("pid")
     n = n_baskets(pairs)
     local = pairs.select("basket").distinct().groupBy(pid).agg(F.ceil(F.lit(float(support)) * F.count("*") / F.lit(float(max(n, 1)))).alias("least"))

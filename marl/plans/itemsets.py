@@ -55,6 +55,7 @@ def frequent_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def son_local_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of one and two items, as the SQL has them; `son_frequent` mines every size."""
     pairs = _pairs(spark, sf_dir)
     return _shown(its.local_candidates(pairs, _least(pairs, SUPPORT), PARTS, 2))
 
@@ -62,7 +63,7 @@ def son_local_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def son_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
     least = _least(pairs, SUPPORT)
-    return _shown(its.count_candidates(pairs, its.local_candidates(pairs, least, PARTS, 2), least))
+    return _shown(its.count_candidates(pairs, its.local_candidates(pairs, least, PARTS), least))
 
 
 def fp_growth(spark: SparkSession, sf_dir: str) -> DataFrame:

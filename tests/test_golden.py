@@ -13,6 +13,7 @@ from marl.functions import scalars
 from marl.operators import cluster, graph, itemsets, recommend, relational, similarity, sketches
 from marl.operators.ranking import dense_index
 from marl.plans import graphs
+from marl.plans import itemsets as plans
 from marl.sources import readers, sinks
 
 
@@ -68,6 +69,25 @@ def test_itemsets_brute_force(spark):
     assert all(sub in found for s in found if len(s) > 1 for sub in itertools.combinations(s, len(s) - 1))
 
 
+def test_son_has_no_largest_size(spark, monkeypatch):
+    rng = random.Random(6)
+    baskets = {i: set(rng.sample("abcdefgh", rng.randint(1, 6))) for i in range(40)} | {40: set("abcd"), 41: set("efgh")}
+    pairs = spark.createDataFrame([(i, x) for i, b in baskets.items() for x in sorted(b)], "basket long, item string")
+    monkeypatch.setattr(plans, "_pairs", lambda spark, sf_dir: pairs)
+    monkeypatch.setattr(plans, "SUPPORT", 0.1)
+    every = [c for size in range(1, 9) for c in itertools.combinations("abcdefgh", size)]
+    held = lambda c, some: sum(set(c) <= b for i, b in baskets.items() if some is None or i % plans.PARTS == some)
+    least = math.ceil(0.1 * len(baskets))
+    parts = {p: math.ceil(least * sum(i % plans.PARTS == p for i in baskets) / len(baskets)) for p in range(plans.PARTS)}
+    wanted = sorted((len(c), ",".join(c), held(c, None)) for c in every if held(c, None) >= least)
+    assert wanted[-1][0] >= 4
+    assert got(plans.son_frequent(spark, "")) == wanted == got(plans.fp_growth(spark, ""))
+    local = itemsets.local_candidates(pairs, least, plans.PARTS)
+    assert sorted(tuple(r["items"]) for r in local.collect()) == sorted(c for c in every if any(held(c, p) >= n for p, n in parts.items()))
+    monkeypatch.setattr(plans, "_pairs", lambda spark, sf_dir: pairs.limit(0))
+    assert got(plans.son_frequent(spark, "")) == []
+
+
 def _sets(spark, n=40, seed=5):
     rng = random.Random(seed)
     base = [set(rng.sample(range(60), rng.randint(3, 20))) for _ in range(n // 2)]
