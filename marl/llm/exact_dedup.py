@@ -4,9 +4,11 @@ Texts are equal when identical after all `[\\x20\\x09-\\x0D]` are deleted; of eq
 most code points stays, then the smallest doc_id.
 
 Every scan task feeds its rows to a `DigestIndex`, which acts as the map-side combiner: a filter miss is a
-new digest, a hit is verified against the stored digests of that bucket. What a task holds is bounded
-(`COMBINE_KEYS`), so a group of copies, however large, costs the shuffle one row a task and flush. A second
-index on each digest shard merges these rows; shards are hash partitions, so no key meets more than one.
+new digest, a hit is verified against the stored digests of that bucket: 32 bytes stand for a text, which never
+enters the shuffle. What a task holds is bounded (`COMBINE_KEYS`), so a group of copies, however large,
+costs the shuffle one row a task and flush. A second index on each digest shard merges these rows; shards are hash
+partitions, so no key meets more than one, and are sorted by digest, so that the index hands on what it
+holds at the same bound and keeps only the digest that may go on.
 
 Defined results: a null text counts as empty; null and empty texts are one group; a null doc_id sorts after
 all others; of rows that repeat in every respect exactly one stays; an empty table gives an empty result;
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from marl.llm import common
 from marl.llm.cuckoo import CuckooFilter, FilterFull, filter_of
 
-#: Digests that a combining task holds before it hands them on.
+#: Digests that a task holds before it hands them on.
 COMBINE_KEYS = 200_000
 
 Best = tuple[int, bool, int, int, int]  # -n_chars, doc_id is null, doc_id, hash of the raw text, row: the least stays
@@ -121,6 +123,14 @@ class DigestIndex:
         self.size -= 1
         return True
 
+    def take(self, digest: bytes) -> list:
+        """Takes a digest out with all its rows; its entry."""
+        h = self._hash(digest)
+        entry = self.buckets[h >> 40].pop(digest)
+        self.filter.delete(np.array([h], np.uint64))
+        self.size -= 1
+        return entry
+
     def _resize(self) -> None:
         keys = [self._hash(d) for b in self.buckets.values() for d in b]
         self.filter = filter_of(np.array(keys, np.uint64), 2 * len(keys))
@@ -152,8 +162,11 @@ def _emitted(index: DigestIndex) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names=["digest", "n", "chars", "keep_id", "raw", "row"])
 
 
-def _indexed(batches: Iterator[pa.RecordBatch], bound: int | None) -> Iterator[pa.RecordBatch]:
-    """Feeds (digest, n, chars, keep_id, raw, row) to an index; hands its entries on at the bound and the end."""
+def _indexed(batches: Iterator[pa.RecordBatch], bound: int, in_order: bool = False) -> Iterator[pa.RecordBatch]:
+    """Feeds (digest, n, chars, keep_id, raw, row) to an index; hands its entries on at the bound and the end.
+
+    Of rows in the order of their digests, a digest is handed on once: the last one met stays, as it may go on.
+    """
     index = DigestIndex(4096)
     for batch in common.rows_of(batches):
         new: dict[bytes, tuple[Best, int]] = {}
@@ -171,9 +184,12 @@ def _indexed(batches: Iterator[pa.RecordBatch], bound: int | None) -> Iterator[p
                 new[digest] = (best, n)
         if new:
             index.insert_new(list(new), list(new.values()))
-        if bound and index.size > bound:
+        if index.size > bound:
+            held = index.take(digest) if in_order else None
             yield from _emitted(index)
             index = DigestIndex(4096)
+            if held:
+                index.insert_new([digest], [(held[1], held[0])])
     yield from _emitted(index)
 
 
@@ -188,7 +204,8 @@ def groups(signed: DataFrame) -> DataFrame:
     """GROUP rows: one for each digest, merged from the combiners by the index of its shard."""
     one = signed.select("digest", F.lit(1).cast("long").alias("n"), F.col("n_chars").alias("chars"), F.col("doc_id").alias("keep_id"), "raw", "row")
     combined = one.mapInArrow(lambda b: _indexed(b, COMBINE_KEYS), GROUP)
-    return combined.repartition(common.partitions(signed.sparkSession), "digest").mapInArrow(lambda b: _indexed(b, None), GROUP)
+    shards = combined.repartition(common.partitions(signed.sparkSession), "digest").sortWithinPartitions("digest")
+    return shards.mapInArrow(lambda b: _indexed(b, COMBINE_KEYS, True), GROUP)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
