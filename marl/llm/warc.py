@@ -3,13 +3,17 @@
 Writing. Payload digests and lengths alone are grouped: of records whose equal payloads have at least
 `min_bytes` bytes, the one with the smallest page_id is a response and the others revisit it. These decisions
 are joined to the pages by page_id and digest, both of them, so a payload that a third of the pages share
-meets in no task. Each task streams its records into one archive under a temporary name in the shared
-folder and renames it when complete, so a lost or repeated task leaves no partial archive; the manifest lists
-the archives of completed tasks.
+meets in no task. Each task streams its records into archives of about `ROLL` bytes in the shared folder, under a
+temporary name until an archive is complete and then under one that no other attempt has. The manifest, written
+by Spark, lists the archives of the attempts that were committed; whatever lost or repeated tasks left
+beside them is never read.
 
-Reading. An archive is read front to back: its members are decompressed piece by piece, headers end at an
-empty line, Content-Length frames the block, and block and payload digests are verified. The first bad byte
-raises `BadArchive`.
+Reading. The manifest's archives are dealt over tasks by name. A task opens each as a stream and reads it front to
+back, `PIECE` bytes at a time: members are decompressed piece by piece, headers end at an empty line,
+Content-Length frames the block, and block and payload digests are verified. The first bad byte raises
+`BadArchive`. A task holds one record and a batch of rows. `broken_revisits` holds revisits against their responses.
+
+Archives are written and read through Arrow's file systems: local, HDFS, S3 (s3a and s3n too), GCS and ABFS.
 
 Block: an HTTP header and the payload; a revisit has the header alone, whose Content-Length still says how long
 the full payload is, and WARC-Payload-Digest its digest.
@@ -41,6 +45,10 @@ MIN_BYTES = 0
 LEVEL = 4
 #: Compressed bytes that the reader takes at a time, and payload bytes that the writer compresses at a time.
 PIECE = 1 << 16
+#: Compressed bytes after which a task begins another archive.
+ROLL = 1 << 30
+#: Hadoop's names of schemes that Arrow has others for.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 MANIFEST = "archive string, records long, bytes long"
 RECORD = "page_id long, target_uri string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -92,27 +100,58 @@ def member(parts: Iterator[bytes]) -> Iterator[bytes]:
     yield packer.flush()
 
 
-def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Streams (page_id, url, payload, refers_to) to this task's archive; gives its line of the manifest."""
-    store, root = fs.FileSystem.from_uri(folder)
-    final = f"{root}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-    draft = f"{root}/draft-{uuid.uuid4().hex}"
-    records = size = 0
-    out = None
+def _uri(folder: str) -> str:
+    """Arrow's name of a folder that Spark names."""
+    scheme, colon, rest = folder.partition(":")
+    return f"file:///{(rest if colon else folder).lstrip('/')}" if scheme == "file" or not colon else SCHEMES.get(scheme, scheme) + ":" + rest
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a folder that Spark names, and the folder's path there."""
+    return fs.FileSystem.from_uri(_uri(folder))
+
+
+class _Archives:
+    """The archives of one task."""
+
+    def __init__(self, folder: str, roll: int) -> None:
+        self.store, self.root = _store(folder)
+        self.store.create_dir(self.root, recursive=True)
+        self.roll, self.out, self.records, self.size = roll, None, 0, 0
+
+    def add(self, parts: Iterator[bytes]) -> bool:
+        """Writes a record; whether the archive is now large enough."""
+        if self.out is None:
+            self.draft, self.records, self.size = f"{self.root}/draft-{uuid.uuid4().hex}", 0, 0
+            self.out = self.store.open_output_stream(self.draft, compression=None)
+        for part in member(parts):
+            self.size += len(part)
+            self.out.write(part)
+        self.records += 1
+        return self.size >= self.roll
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """The archive's line of the manifest, if one is open."""
+        if self.out is None:
+            return
+        self.out.close()
+        self.out = None
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+        self.store.move(self.draft, f"{self.root}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([self.records], pa.int64()), pa.array([self.size], pa.int64())], names=["archive", "records", "bytes"])
+
+
+def _written(batches: Iterator[pa.RecordBatch], folder: str, roll: int) -> Iterator[pa.RecordBatch]:
+    """Streams (page_id, url, payload, refers_to) to this task's archives; gives their lines of the manifest."""
+    made = _Archives(folder, roll)
     for batch in common.rows_of(batches):
-        out = out or store.open_output_stream(draft, compression=None)
         for page_id, url, payload, refers_to in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), common.as_bytes(batch.column("payload")), batch.column("refers_to").to_pylist(), strict=True):
-            for part in member(record_bytes(page_id, url, payload or b"", refers_to)):
-                size += len(part)
-                out.write(part)
-            records += 1
-    if out:
-        out.close()
-        store.move(draft, final)
-        yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["archive", "records", "bytes"])
+            if made.add(record_bytes(page_id, url, payload or b"", refers_to)):
+                yield from made.close()
+    yield from made.close()
 
 
-def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> tuple[str, DataFrame]:
+def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, roll: int = ROLL, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> tuple[str, DataFrame]:
     """Writes the archives; their folder and manifest."""
     spark = pages.sparkSession
     common.bounded_batches(spark)
@@ -124,8 +163,14 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "
     same = F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
     ready = rows.join(revisits.hint("merge"), same, "left").select("page_id", "url", "payload", "refers_to")
     folder = common.scratch(spark, "warc")
-    spark.createDataFrame([], "x int").write.mode("ignore").parquet(folder + "/made")  # the folder itself, through Spark
-    return folder, common.materialise(ready.mapInArrow(lambda b: _written(b, folder), MANIFEST), "manifest")
+    _store(folder)  # fails here and now if Arrow has no such file system
+    ready.mapInArrow(lambda b: _written(b, folder, roll), MANIFEST).write.parquet(f"{folder}/manifest")
+    return folder, manifest(spark, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(archive, records, bytes) of a folder's complete archives."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def members(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -180,26 +225,39 @@ def parse(data: bytes) -> dict:
 _RECORD_TYPES = pa.schema([("page_id", pa.int64()), ("target_uri", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
-def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(stream: pa.NativeFile) -> Iterator[bytes]:
+    while piece := stream.read(PIECE):
+        yield piece
+
+
+def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Iterator[pa.RecordBatch]:
+    store, root = _store(folder)
     for batch in common.rows_of(batches):
-        for content in batch.column("content"):
-            view = memoryview(content.as_buffer())
+        for name in batch.column("archive").to_pylist():
             rows, held = [], 0
-            for data in members(bytes(view[at : at + PIECE]) for at in range(0, len(view), PIECE)):
-                rows.append(parse(data) if payloads else parse(data) | {"payload": None})
-                held += len(rows[-1]["payload"] or b"") + 200
-                if held > common.BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, _RECORD_TYPES)
-                    rows, held = [], 0
+            with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                for data in members(_pieces(stream)):
+                    rows.append(parse(data) if payloads else parse(data) | {"payload": None})
+                    held += len(rows[-1]["payload"] or b"") + 200
+                    if held > common.BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, _RECORD_TYPES)
+                        rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _RECORD_TYPES)
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """RECORD rows of every `*.warc.gz` in a folder; a folder without archives gives none."""
+    """RECORD rows of the archives in a folder's manifest; a manifest without archives gives none."""
     common.bounded_batches(spark)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return found.select("content").mapInArrow(lambda b: _read(b, payloads), RECORD)
+    names = manifest(spark, folder).select("archive").repartition(common.partitions(spark))
+    return names.mapInArrow(lambda b: _read(b, folder, payloads), RECORD)
+
+
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """The revisits of RECORD rows that no response with their payload digest has the page_id for."""
+    responses = records.where("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("digest")).distinct()
+    same = (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("digest"))
+    return records.where("record_type = 'revisit'").join(responses.hint("merge"), same, "left_anti")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
