@@ -56,15 +56,25 @@ def _role_in(role: Column) -> Column:
 
 
 def log_of(turns: DataFrame) -> DataFrame:
-    """A log that streams the rows (conv_id, turn, role, text): messages by turn, role and text, each in deltas."""
+    """A log that leads to the rows (conv_id, turn, role, text): messages by turn, role and text.
+
+    Of three messages, one is streamed in deltas; the next streams a draft, is regenerated and streamed; the
+    third streams a draft that an edit replaces after all messages have been streamed. A draft is the beginning
+    of the text backwards, so folding must undo it.
+    """
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
     rows = rows.withColumn("message", F.row_number().over(order).cast("long"))
     last = F.floor(F.greatest(F.char_length("text") - 1, F.lit(0)) / DELTA).cast("int")
-    parts = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    cut = F.substring("text", F.col("part") * DELTA + 1, F.lit(DELTA))
-    return parts.select("conv_id", (F.col("message") * (1 << 32) + F.col("part")).alias("seq"), "message", "role", F.lit("delta").alias("op"), cut.alias("text"))
+    again, edited = F.pmod("message", F.lit(3)) == 1, F.pmod("message", F.lit(3)) == 2
+    whole = F.sequence(F.when(again, -2).otherwise(0), last)  # -2 is the draft, -1 what ends it
+    parts = rows.select("*", F.explode(F.when(edited, F.array(F.lit(-2), F.lit(-1))).otherwise(whole)).alias("part"))
+    draft, ends = F.col("part") == -2, F.col("part") == -1
+    op = F.when(ends & again, "regenerate").when(ends, "edit").otherwise("delta")
+    said = F.when(draft, F.reverse(F.substring("text", 1, DELTA))).when(ends & again, F.lit(None)).when(ends, F.col("text")).otherwise(F.substring("text", F.col("part") * DELTA + 1, F.lit(DELTA)))
+    seq = F.col("message") * (1 << 32) + F.col("part") + F.when(ends & edited, F.lit(1 << 62)).otherwise(F.lit(2))
+    return parts.select("conv_id", seq.alias("seq"), "message", "role", op.alias("op"), said.alias("text"))
 
 
 def fold(log: DataFrame) -> DataFrame:
