@@ -8,9 +8,11 @@ others. No terms give zero. Likeness is the share of equal bits.
 once to the task of its doc_id range, and the first document of a range also to the range before it (the
 first of all to the last range). Range bounds are a fixed number of doc_ids, so the driver's part is bounded.
 
-`within` finds fingerprints near queries by permuted block tables: 64 bits in radius + 1 blocks; two
-fingerprints within the radius agree in one block at least, so each is listed once a block and candidates
-are verified.
+`within` finds fingerprints near queries by permuted block tables: 64 bits in `BLOCKS` blocks, of which two
+fingerprints within the radius agree in all but that many. There is a table for each choice of agreeing
+blocks, ordered by their bits; candidates share a table's key and are verified. With 5 blocks and radius 3
+a key has 25 or 26 bits in 10 tables, with 6 it has 32 in 20: more blocks for more than some 10^9 fingerprints.
+`op7_fingerprint` asks for every row whose doc_id is divisible by `ASKED` how many other fingerprints are near.
 
 Defined results: null texts count as empty; null doc_ids come after all others; rows with the same doc_id are
 taken in the order of their texts; one document alone is its own next document; an empty table gives an
@@ -22,6 +24,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from marl.llm import common, votes
 
 WIDTH = 5
+#: The search: Hamming radius, blocks of the permuted tables, and which doc_ids are queries.
+RADIUS, BLOCKS, ASKED = 3, 5, 20
 _word = xxhash.xxh64_intdigest
 #: Odd multipliers that order the words of a shingle.
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x1234567 * i) for i in range(WIDTH)]
@@ -107,7 +112,7 @@ def edited(text: str, after: str) -> str:
 
 # -- the walk by ascending doc_id ------------------------------------------------------------------------
 
-COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, fp long"
 
 
 def _ranged(batches: Iterator[pa.RecordBatch], bounds: list[int], last: int, firsts: dict[int | None, int]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +161,14 @@ def _compared_pairs(prints: Fingerprinter, pairs: list) -> pa.RecordBatch:
             pa.array(votes.hex16(changed), pa.string()),
             pa.array(likeness(own, changed)),
             pa.array(likeness(own, after)),
+            pa.array(own.view(np.int64)),
         ],
         names=[x.split()[0] for x in COMPARED.split(", ")],
     )
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """COMPARED for every row: its fingerprint against its edited text's and the next document's."""
+    """COMPARED for every row: its fingerprint against its edited text's and the next document's, and again as a signed long."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
     rows = common.texts(docs, id_col, text_col)
@@ -205,30 +211,41 @@ def _compared_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 # -- search -----------------------------------------------------------------------------------------------
 
 
-def within(fps: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+def table_masks(radius: int, blocks: int) -> list[int]:
+    """The bits that agree in each table, as signed longs."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    own = [sum(1 << b for b in range(a, z)) for a, z in zip(cuts, cuts[1:], strict=False)]
+    masks = [sum(chosen) for chosen in combinations(own, blocks - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def within(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(query, fp, distance): for each distinct `fp` of `queries`, every distinct `fp` of `fps` within the radius.
 
-    Both have a signed long `fp`. Block tables hold distinct fingerprints, so copies cost nothing; a block
-    value that many share is split by the skew join of AQE.
+    Both have a signed long `fp`; `blocks` is more than the radius. Tables hold distinct fingerprints, so copies
+    cost nothing; a key that many share is split by the skew join of AQE.
     """
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    masks = [sum(1 << b for b in range(a, z)) for a, z in zip(cuts, cuts[1:], strict=False)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    masks = table_masks(radius, blocks)
 
     def listed(df: DataFrame, name: str) -> DataFrame:
-        blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)))
-        return df.select("fp").where("fp is not null").distinct().select(F.col("fp").alias(name), F.explode(blocks).alias("b")).select(name, "b.block", "b.bits")
+        keys = F.array(*(F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)))
+        return df.select("fp").where("fp is not null").distinct().select(F.col("fp").alias(name), F.explode(keys).alias("k")).select(name, "k.table", "k.bits")
 
-    joined = listed(queries, "query").join(listed(fps, "fp"), ["block", "bits"])
+    joined = listed(queries, "query").join(listed(fps, "fp"), ["table", "bits"])
     apart = F.col("query").bitwiseXOR(F.col("fp"))
     first = F.lit(True)
-    for i, m in enumerate(signed):  # a pair that agrees in several blocks is reported by the first
-        first &= (F.col("block") <= i) | (apart.bitwiseAND(F.lit(m).cast("long")) != 0)
+    for i, m in enumerate(masks):  # a pair that agrees in several tables is reported by the first
+        first &= (F.col("table") <= i) | (apart.bitwiseAND(F.lit(m).cast("long")) != 0)
     return joined.select("query", "fp", F.bit_count(apart).alias("distance"), first.alias("first")).where((F.col("distance") <= radius) & F.col("first")).drop("first")
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_edits(common.table(spark, sf_dir, "documents"))
+    """The contract's columns, and `n_within`: for queries the number of other fingerprints within RADIUS, else null."""
+    made = common.materialise(compare_edits(common.table(spark, sf_dir, "documents")), "compared")
+    is_query = F.coalesce(F.col("doc_id") % ASKED == 0, F.lit(False))
+    near = within(made, made.where(is_query)).where("query <> fp").groupBy("query").agg(F.count("*").alias("n_within"))
+    asked = made.where(is_query).join(near.hint("merge"), F.col("fp") == F.col("query"), "left").drop("query").withColumn("n_within", F.coalesce("n_within", F.lit(0).cast("long")))
+    return asked.unionByName(made.where(~is_query).withColumn("n_within", F.lit(None).cast("long"))).drop("fp")
 
 
 QUERIES = {"op7_fingerprint": op7_fingerprint}
