@@ -112,13 +112,20 @@ def _states(d: tuple[np.ndarray, np.ndarray], steps: np.ndarray, backward: bool)
 
 
 def pooled(net: Network, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(segments, classes): the sums of each segment's position probabilities."""
+    """(segments, classes): the sums of each segment's position probabilities.
+
+    Every block has WIDTH segments, the last one with empty ones behind it, so that a segment's sums don't depend
+    on what stands beside it.
+    """
     ahead, back = _halved(net.ahead), _halved(net.back)
     cells = net.ahead.state.shape[1]
     first, second = np.ascontiguousarray(net.out[:, :cells]), np.ascontiguousarray(net.out[:, cells:])
     sums = np.empty((len(data), len(net.out)), np.float64)
     for at in range(0, len(data), WIDTH):
         part, real = data[at : at + WIDTH], lengths[at : at + WIDTH]
+        n = len(part)
+        if n < WIDTH:
+            part, real = np.pad(part, ((0, WIDTH - n), (0, 0))), np.pad(real, (0, WIDTH - n))
         steps = np.ascontiguousarray(part.T).astype(np.intp)
         score = np.matmul(first, _states(ahead, steps, False))
         score += np.matmul(second, _states(back, steps, True))
@@ -127,7 +134,7 @@ def pooled(net: Network, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         score /= score.sum(axis=1, keepdims=True)
         if real.min(initial=0) < part.shape[1]:
             score *= (np.arange(part.shape[1])[:, None] < real)[:, None, :]
-        sums[at : at + WIDTH] = score.sum(axis=0).T
+        sums[at : at + WIDTH] = score.sum(axis=0).T[:n]
     return sums
 
 

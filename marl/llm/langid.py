@@ -3,8 +3,10 @@
 The network labels every byte of a whole text; a document's probabilities are the means over its positions,
 the language is the likeliest, the score its mean probability. It learns from text and language alone, of
 rows with a language whose crc32(doc_id as text) mod 3 is not `HELD`: about `PER_LANGUAGE` documents a
-language, drawn by a hash of doc_id, and of each `PER_DOCUMENT` segments spread over the whole text. These two
-bounds are all that training sees, whatever the table's size; the driver trains on those segments.
+language, drawn by a hash of doc_id, and of each `PER_DOCUMENT` segments spread over the whole text, for the
+`LANGUAGES` languages with the most such rows. These three bounds are all that training sees, whatever the
+table's size; the driver trains on those segments. A text's score depends on the text alone: the network runs
+over blocks of one fixed width, and scores are rounded to `DIGITS` digits.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, and so is every text if no row can
 be learned from; a null doc_id counts as an empty string in the split; repeated rows get equal results; an
@@ -27,7 +29,8 @@ from marl.llm.mixing import uniform
 #: Of the split by crc32(doc_id as text) mod 3, the part that is never learned from.
 HELD = 1
 #: Bounds of the sample that the network is fitted on.
-PER_LANGUAGE, PER_DOCUMENT = 300, 12
+PER_LANGUAGE, PER_DOCUMENT, LANGUAGES = 300, 12, 64
+DIGITS = 6
 UNDETERMINED = "und"
 #: A filter keeps documents from this score on; clean short texts score above it.
 LEAST = 0.3
@@ -59,18 +62,14 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, per_document: int
     common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    n = {r["lang"]: r["count"] for r in rows.select("lang").groupBy("lang").count().collect()}  # one row a language
+    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not n:
         return []
     share = F.create_map(*(F.lit(x) for lang, count in sorted(n.items()) for x in (lang, min(1.0, per_language / count))))
-    drawn = rows.withColumn("key", uniform(F.concat(F.lit("langid:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).where(F.col("key") < share[F.col("lang")])
-    parts = drawn.mapInArrow(lambda b: _cut(b, per_document), "lang string, key double, part binary").collect()
-    kept, seen = [], {}
-    for lang, key, part in sorted((r["lang"], r["key"], bytes(r["part"])) for r in parts):
-        seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= 2 * per_language * per_document:  # a draw is about per_language documents; this is the firm bound
-            kept.append((lang, key, part))
-    return kept
+    drawn = rows.where(F.col("lang").isin(*sorted(n))).withColumn("key", uniform(F.concat(F.lit("langid:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).where(F.col("key") < share[F.col("lang")])
+    parts = drawn.mapInArrow(lambda b: _cut(b, per_document), "lang string, key double, part binary")
+    most = 2 * len(n) * per_language * per_document  # a draw is about per_language documents a language; this is the firm bound
+    return sorted((r["lang"], r["key"], bytes(r["part"])) for r in parts.orderBy("key", "lang", "part").limit(most).collect())
 
 
 def fit(docs: DataFrame, **columns: str) -> tuple[list[str], list[np.ndarray]]:
@@ -95,7 +94,7 @@ def predict(texts: list[bytes | None], langs: list[str], weights: list[np.ndarra
         first = np.cumsum(count) - count
         p = np.add.reduceat(bigru.pooled(bigru.Network.of(weights), data, lengths), first, axis=0) / np.array([len(t) for t in own])[:, None]
         best = p.argmax(axis=1)
-        scores[at] = np.clip(p[np.arange(len(at)), best], 0, 1)
+        scores[at] = np.round(np.clip(p[np.arange(len(at)), best], 0, 1), DIGITS)
         for i, k in zip(at.tolist(), best.tolist(), strict=True):
             names[i] = langs[k]
     return names, scores
