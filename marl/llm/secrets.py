@@ -103,17 +103,17 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op9_secrets": op9_secrets}
 
+
 def _sql_spans(kind: int, pattern: str, keep: str) -> str:
     """Spans of a pattern in SQL, from the gaps between its matches; `keep` is a condition on the match m."""
-    return f"""SELECT doc_id, {kind} AS kind, m, stop - length(m) AS start, stop FROM (
-  SELECT doc_id, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
-    SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest(string_split_regex(text, '{pattern}')) AS g,
+    return f"""SELECT r, {kind} AS kind, m, stop - length(m) AS start, stop FROM (
+  SELECT r, m, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS stop FROM (
+    SELECT r, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest(string_split_regex(text, '{pattern}')) AS g,
            generate_subscripts(string_split_regex(text, '{pattern}'), 1) AS i
     FROM d) WHERE m IS NOT NULL) WHERE {keep}"""
 
 
-#: The patterns again, without look-around: a key is a run of base64 characters, `=` among them, that is 40 long and has none.
-#: So the SQL knows no key directly behind a `=`, as PATTERNS does; the tables have no such text.
+#: The patterns again, without look-around: a key is a run of 40 base64 characters that no `=` follows. `r` numbers the rows.
 _ANY_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key"))
 _HEAD = f"""(?:{_ANY_CASE})["'']?\\x20*[:=]\\x20*["'']?"""
 _SQL = " UNION ALL ".join(
@@ -121,26 +121,26 @@ _SQL = " UNION ALL ".join(
         _sql_spans(0, _HEAD + _VALUE, f"length(regexp_replace(m, '^{_HEAD}', '')) >= {ASSIGN_VALUE}"),
         _sql_spans(1, "AKIA[A-Z0-9]+", "length(m) >= 18"),
         _sql_spans(2, "[0-9a-f]+", "length(m) >= 16"),
-        _sql_spans(3, "[A-Za-z0-9+/=]+", "regexp_full_match(m, '[A-Za-z0-9+/]{40}') AND NOT regexp_full_match(m, '[0-9a-f]{40}')"),
+        _sql_spans(3, "[A-Za-z0-9+/]+=?", "regexp_full_match(m, '[A-Za-z0-9+/]{40}') AND NOT regexp_full_match(m, '[0-9a-f]{40}')"),
         _sql_spans(4, r"""https?://[^\x20\x09-\x0D"''<>]+""", "true"),
     ]
 )
-_BESIDE = "EXISTS (SELECT 1 FROM {0} o WHERE o.doc_id = s.doc_id AND o.start - s.stop <= {1} AND s.start - o.stop <= {1})"
+_BESIDE = "EXISTS (SELECT 1 FROM {0} o WHERE o.r = s.r AND o.start - s.stop <= {1} AND s.start - o.stop <= {1})"
 
 ORACLES = {
     "op9_secrets": f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 s AS MATERIALIZED ({_SQL}),
 access AS (SELECT * FROM s WHERE kind = 1),
 keys AS MATERIALIZED (SELECT * FROM s WHERE kind = 3 AND {_BESIDE.format("access", SCOPE)}),
 secret AS (SELECT * FROM s WHERE kind IN (0, 2) UNION ALL SELECT * FROM keys),
 ends AS (SELECT * FROM s WHERE kind = 4 AND {_BESIDE.format("access", SCOPE)} AND {_BESIDE.format("secret", SCOPE)}),
 shown AS (
-  SELECT doc_id, kind, start, stop, {list(KINDS)}[kind + 1] || ':' || start || ':' || stop AS span
+  SELECT r, kind, start, stop, {list(KINDS)}[kind + 1] || ':' || start || ':' || stop AS span
   FROM (SELECT * FROM s WHERE kind < 3 UNION ALL SELECT * FROM keys UNION ALL SELECT * FROM ends))
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
        sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
        coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
-FROM d LEFT JOIN shown USING (doc_id) GROUP BY d.doc_id
+FROM d LEFT JOIN shown USING (r) GROUP BY d.r, d.doc_id
 """
 }
