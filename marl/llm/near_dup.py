@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marl.llm import common, votes
@@ -75,15 +75,24 @@ def fingerprints_of(texts: list[bytes | None], width: int = SHINGLE) -> np.ndarr
 
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the fingerprint in the place of the text."""
     for batch in common.rows_of(batches):
         fp = fingerprints_of(common.as_bytes(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield batch.select(rest).append_column("fp", pa.array(fp.view(np.int64)))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) with the 64 bits as a signed long; with `hashed` also `text_hash` before it, for whoever must tell texts apart."""
     common.bounded_batches(docs.sparkSession)
-    return common.texts(docs, id_col, text_col).mapInArrow(_fingerprinted, "doc_id long, fp long")
+    rows = common.texts(docs, id_col, text_col)
+    if hashed:
+        rows = rows.select("doc_id", _text_hash(F.col("text")).alias("text_hash"), "text")
+    return rows.mapInArrow(_fingerprinted, "doc_id long, " + "text_hash long, " * hashed + "fp long")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 # -- the search ------------------------------------------------------------------------------------------
@@ -245,23 +254,30 @@ def signed(x: int) -> int:
 def near_dedup(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; the component's id is its smallest doc_id."""
     fps = common.materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    return _grouped(fps, radius)
+    classes = _classes(fps, radius)
+    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = classes.join(ids.hint("merge"), "root").select("fp", "component_id")
+    return fps.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, that carry the smallest doc_id of their group; rows that repeat a doc_id stand or fall together."""
-    grouped = near_dedup(docs, radius, id_col, text_col)
-    first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first.hint("merge"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__first")), "left_semi")
-
-
-def _grouped(fps: DataFrame, radius: int) -> DataFrame:
+    """The rows of `docs`, all columns, of one document of each group: the smallest doc_id, nulls last, then the
+    smallest hash of the text. Rows that repeat doc_id and text are one document.
+    """
+    fps = common.materialise(fingerprints(docs, id_col, text_col, True), "fingerprints")
+    rooted = fps.join(_classes(fps, radius).select("fp", "root").hint("merge"), "fp")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _text_hash(F.col(f"`{text_col}`")).alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    return rows.join(first.hint("merge"), same, "left_semi").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _classes(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, least) of the distinct fingerprints: the group, and the smallest doc_id that has the fingerprint."""
     rooted = components(links(pivot_table(fps), radius)).withColumnRenamed("node", "fp")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    classes = common.materialise(classes, "classes")
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(ids.hint("merge"), "root").select("fp", "component_id")
-    return fps.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted.hint("merge"), "fp", "left")
+    return common.materialise(classes.select("fp", F.coalesce("root", "fp").alias("root"), "least"), "classes")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
