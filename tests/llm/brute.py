@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -76,6 +77,59 @@ def fingerprint(text) -> int:
     return sum(1 << b for b in range(64) if 2 * votes[b] > len(shingles))
 
 
+_U64 = (1 << 64) - 1
+
+
+def simhash(text) -> int:
+    """The weighted SimHash of five-word terms: word hashes times odd numbers by place, added and mixed."""
+    w = words(lower(text or ""))
+    weight = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+    votes = [0] * 64
+    for term, n in weight.items():
+        h = sum(xxhash.xxh64_intdigest(x.encode()) * (0x9E3779B97F4A7C15 + 2 * 0x1234567 * i) for i, x in enumerate(term)) & _U64
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * factor & _U64
+        h ^= h >> 33
+        for b in range(64):
+            votes[b] += n if h >> b & 1 else -n
+    return sum(1 << b for b in range(64) if votes[b] > 0)
+
+
+def _squash(x: float) -> float:
+    x = max(-3.0, min(3.0, x))
+    return x * (27 + x * x) / (27 + 9 * x * x)
+
+
+def _walk(table, state, data):
+    """The states after each byte, from a zero state."""
+    cells = len(state) // 3
+    h, out = [0.0] * cells, []
+    for byte in data:
+        own = [sum(float(state[i][j]) * h[j] for j in range(cells)) for i in range(3 * cells)]
+        given = [float(table[i][byte]) for i in range(3 * cells)]
+        gate = [0.5 + 0.5 * _squash(0.5 * (given[i] + own[i])) for i in range(2 * cells)]
+        new = [_squash(given[2 * cells + i] + gate[cells + i] * own[2 * cells + i]) for i in range(cells)]
+        h = [gate[i] * h[i] + (1 - gate[i]) * new[i] for i in range(cells)]
+        out.append(h)
+    return out
+
+
+def per_position(arrays, data: bytes, n: int):
+    """The classes' probabilities at each of the first n positions of a segment; both directions see all of it."""
+    ahead = _walk(arrays[0], arrays[1], data)
+    back = _walk(arrays[2], arrays[3], data[::-1])[::-1]
+    for t in range(n):
+        both = ahead[t] + back[t]
+        score = [math.exp(sum(float(w) * x for w, x in zip(row, both, strict=True)) + float(bias[0])) for row, bias in zip(arrays[4], arrays[5], strict=True)]
+        yield [x / sum(score) for x in score]
+
+
+def positions(arrays, data: bytes, n: int):
+    """The sums of the probabilities over the first n positions."""
+    every = list(per_position(arrays, data, n))
+    return [sum(p[k] for p in every) for k in range(len(arrays[4]))]
+
+
 def groups(prints, radius=3):
     """The component of each position."""
     at = list(range(len(prints)))
