@@ -5,11 +5,13 @@ Points are (idx, x) with x an array of doubles; a summary is (cid, n, sum, sumsq
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marl.sources.shared import cut
@@ -76,70 +78,130 @@ def _k_means(points: DataFrame, k: int) -> DataFrame:
     return model.transform(fed).drop("__v")
 
 
-def _split_singles(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Points in clusters of two or more, and those alone."""
-    sizes = clustered.groupBy("cid").agg(F.count("*").alias("__n"))
-    both = clustered.join(sizes, "cid")
-    return cut(both.where("__n > 1").drop("__n")), cut(both.where("__n = 1").drop("__n", "cid"))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _closest_merges(summary: DataFrame, limit: float) -> DataFrame | None:
-    """(cid, into): the closest two summaries under the limit; None if there are none."""
-    top = between_clusters(summary).where(F.col("distance") < limit).orderBy("distance", "a", "b").limit(1).collect()
-    return None if not top else summary.sparkSession.createDataFrame([(top[0]["b"], top[0]["a"])], "old long, new long")
-
-
-def bfr(points: DataFrame, k: int, chunks: int = CHUNKS) -> tuple[DataFrame, DataFrame]:
+def bfr(points: DataFrame, k: int, chunks: int = CHUNKS, clusterer: Callable[[DataFrame, int], DataFrame] = _k_means) -> tuple[DataFrame, DataFrame]:
     """(rounds, labels) of BFR over (idx, x).
 
     rounds: (round, ds_points, cs_clusters, cs_points, rs_points). labels: (idx, cluster), -1 for outliers.
     A chunk is idx mod `chunks`. Points of a round are assigned against the summaries that the round began
-    with, so a round is a few joins; summaries are merged after it. A point joins the nearest discard
-    summary within 2 sqrt(d), else the nearest compressed one, else it is retained and clustered with the others.
+    with; summaries are added up after it. A point joins the nearest discard summary within 2 sqrt(d), else the
+    nearest compressed one, else it is retained and clustered with the others; groups of two or more are
+    compressed. Then the closest two compressed summaries within the limit are merged until there are none, and at the
+    end each is merged with the nearest discard summary within it.
+
+    What is kept is (idx, kind, cid) of assigned points, retained points, each written once, and summaries, of which
+    there are at most k and 5 k a round: these alone are on the driver. `clusterer` adds `cid` to points.
     """
-    points = points.select("idx", "x")
-    first = points.where(F.pmod("idx", F.lit(chunks)) == 0)
-    d = first.select(F.size("x")).first()
+    spark, points = points.sparkSession, points.select("idx", "x")
+    chunk = lambda number: points.where(F.pmod("idx", F.lit(chunks)) == number)
+    d = chunk(0).select(F.size("x")).first()
     limit = 2 * float(d[0] if d else 1) ** 0.5
-    crowd, retained = _split_singles(_k_means(first, 5 * k))
-    members = [cut(_k_means(crowd.select("idx", "x"), k).select("idx", F.lit("ds").alias("kind"), F.col("cid").cast("long").alias("cid"), "x"))]
-    rounds, numbers = [], k
+    groups, alone = _grouped(chunk(0), 5 * k, clusterer)
+    crowd = chunk(0).join(groups.select("idx"), "idx", "left_semi")
+    first = cut(clusterer(crowd, k).select("idx", F.lit("ds").alias("kind"), F.col("cid").cast("long").alias("cid")))
+    held = {"ds": summaries(chunk(0).join(first.select("idx", "cid"), "idx")), "cs": _no_summaries(spark)}
+    held = {kind: cut(made) for kind, made in held.items()}
+    placed, kept, into, rounds = [first], [cut(chunk(0).join(alone, "idx", "left_semi"))], {}, []
     for number in range(chunks):
         if number:
-            chunk = points.where(F.pmod("idx", F.lit(chunks)) == number)
-            known = cut(_union(members))
-            near = nearest(chunk, summaries(known.where("kind = 'ds'"))).withColumn("ok", F.coalesce(F.col("distance") < limit, F.lit(False)))
-            near = cut(near)
-            rest = near.where("not ok").select("idx", "x")
-            close = cut(nearest(rest, summaries(known.where("kind = 'cs'"))).withColumn("ok", F.coalesce(F.col("distance") < limit, F.lit(False))))
-            members = [known, near.where("ok").select("idx", F.lit("ds").alias("kind"), F.col("cid").cast("long").alias("cid"), "x"), close.where("ok").select("idx", F.lit("cs").alias("kind"), F.col("cid").cast("long").alias("cid"), "x")]
-            retained = cut(retained.unionByName(close.where("not ok").select("idx", "x")))
-        if retained.limit(1).count():
-            groups, retained = _split_singles(_k_means(retained, 5 * k))
-            members.append(groups.select("idx", F.lit("cs").alias("kind"), (F.col("cid") + numbers).cast("long").alias("cid"), "x"))
-            numbers += 5 * k
-        known = cut(_union(members))
-        while (move := _closest_merges(summaries(known.where("kind = 'cs'")), limit)) is not None:
-            known = _moved(known, move)
-        members = [known]
-        counts = known.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("cid").alias("c"))
-        got = {r["kind"]: r for r in counts.collect()}  # two rows
-        rounds.append((number + 1, got["ds"]["n"] if "ds" in got else 0, got["cs"]["c"] if "cs" in got else 0, got["cs"]["n"] if "cs" in got else 0, retained.count()))
-    known = members[0]
-    compressed = summaries(known.where("kind = 'cs'"))
-    centres = compressed.select(F.col("cid").alias("idx"), centroid(F.col("n"), F.col("sum")).alias("x"))
-    joined = nearest(centres, summaries(known.where("kind = 'ds'"))).where(F.col("distance") < limit).select(F.col("idx").alias("old"), F.col("cid").cast("long").alias("into"))
-    final = known.join(joined, (F.col("kind") == "cs") & (F.col("cid") == F.col("old")), "left")
-    cluster = F.when(F.col("kind") == "ds", F.col("cid")).otherwise(F.coalesce("into", F.lit(-1)))
-    labels = final.select("idx", cluster.cast("long").alias("cluster")).unionByName(retained.select("idx", F.lit(-1).cast("long").alias("cluster")))
-    spark = points.sparkSession
+            near = _placed(chunk(number), held, limit)
+            sums = cut(summaries(near.where("kind <> 'rs'").select(F.struct("kind", "cid").alias("cid"), "x")))
+            for kind in held:
+                new = sums.where(F.col("cid.kind") == kind).select(F.col("cid.cid").alias("cid"), "n", "sum", "sumsq")
+                held[kind] = cut(merged(held[kind].unionByName(new)))
+            placed.append(cut(near.where("kind <> 'rs'").select("idx", "kind", "cid")))
+            kept.append(cut(near.where("kind = 'rs'").select("idx", "x")))
+            alone = cut(alone.unionByName(kept[-1].select("idx")))
+        pool = _union(kept).join(alone, "idx", "left_semi")
+        groups, alone = _grouped(pool, 5 * k, clusterer)
+        groups = cut(groups.select("idx", F.lit("cs").alias("kind"), (F.col("cid") + k * (1 + 5 * number)).cast("long").alias("cid")))
+        placed.append(groups)
+        grown = held["cs"].unionByName(summaries(_union(kept).join(groups.select("idx", "cid"), "idx")))
+        small, moves = _merged_closest(_summary_list(grown), limit)
+        into |= moves
+        held["cs"] = cut(spark.createDataFrame(small, SUMMARY))
+        ds = held["ds"].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rounds.append((number + 1, ds, len(small), sum(n for _, n, *_ in small), alone.count()))
+    final = _into_discard(_summary_list(held["cs"]), _summary_list(held["ds"]), limit)
+    for cid in into:
+        end = into[cid]
+        while end in into:
+            end = into[end]
+        final[cid] = final[end]
+    named = spark.createDataFrame(sorted(final.items()), "old long, cluster long")  # one row a compressed summary
+    assigned = _union(placed)
+    ds_labels = assigned.where("kind = 'ds'").select("idx", F.col("cid").alias("cluster"))
+    cs_labels = assigned.where("kind = 'cs'").join(F.broadcast(named), F.col("cid") == F.col("old")).select("idx", "cluster")
+    labels = ds_labels.unionByName(cs_labels).unionByName(alone.select("idx", F.lit(-1).cast("long").alias("cluster")))
     return spark.createDataFrame(rounds, "round long, ds_points long, cs_clusters long, cs_points long, rs_points long"), labels
 
 
-def _moved(known: DataFrame, move: DataFrame) -> DataFrame:
-    rows = known.join(F.broadcast(move), (F.col("kind") == "cs") & (F.col("cid") == F.col("old")), "left")  # one row
-    return cut(rows.select("idx", "kind", F.coalesce("new", "cid").alias("cid"), "x"))
+SUMMARY = "cid long, n long, sum array<double>, sumsq array<double>"
+
+
+def _no_summaries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], SUMMARY)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _grouped(points: DataFrame, k: int, clusterer: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(idx, cid) of points in clusters of two or more, and (idx) of those alone."""
+    made = cut(clusterer(points, k).select("idx", "cid"))
+    both = cut(made.join(made.groupBy("cid").agg(F.count("*").alias("size")), "cid"))
+    return both.where("size > 1").select("idx", "cid"), both.where("size = 1").select("idx")
+
+
+def _placed(points: DataFrame, held: dict[str, DataFrame], limit: float) -> DataFrame:
+    """(idx, x, kind, cid): `ds` or `cs` with the nearest summary within the limit, `rs` for the rest."""
+    ds = nearest(points, held["ds"]).withColumnsRenamed({"cid": "ds_cid", "distance": "ds_distance"})
+    both = nearest(ds, held["cs"])
+    is_ds, is_cs = F.coalesce(F.col("ds_distance") < limit, F.lit(False)), F.coalesce(F.col("distance") < limit, F.lit(False))
+    kind = F.when(is_ds, "ds").when(is_cs, "cs").otherwise("rs")
+    return both.select("idx", "x", kind.alias("kind"), F.when(is_ds, F.col("ds_cid")).when(is_cs, F.col("cid")).cast("long").alias("cid"))
+
+
+def _summary_list(summary: DataFrame) -> list[tuple[int, int, list[float], list[float]]]:
+    return sorted((r["cid"], r["n"], r["sum"], r["sumsq"]) for r in summary.collect())  # k, or 5 k a round
+
+
+def _shape(summary: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Centroid and deviation."""
+    _, n, total, squares = summary
+    centre = np.array(total) / n
+    return centre, np.sqrt(np.maximum(np.array(squares) / n - centre * centre, 0.0))
+
+
+def _apart(gap: np.ndarray, width: np.ndarray) -> float:
+    """The root of the summed gaps over widths; without width a gap is infinite and none adds nothing."""
+    return float(np.sqrt(np.where(width > 0, gap / np.where(width > 0, width, 1.0), np.where(gap == 0, 0.0, np.inf)).sum()))
+
+
+def _merged_closest(summary: list[tuple], limit: float) -> tuple[list[tuple], dict[int, int]]:
+    """The closest two summaries, ties by cid, are added up while they are within the limit; and which went into which."""
+    left, into = {s[0]: s for s in summary}, {}
+    shape = {c: _shape(s) for c, s in left.items()}
+    far = lambda a, b: _apart((shape[a][0] - shape[b][0]) ** 2, shape[a][1] * shape[b][1])
+    known = {(a, b): far(a, b) for a in left for b in left if a < b}
+    while known:
+        (a, b), distance = min(known.items(), key=lambda item: (item[1], item[0]))
+        if distance >= limit:
+            break
+        (_, n, s, q), (_, m, t, r) = left[a], left.pop(b)
+        left[a] = (a, n + m, [x + y for x, y in zip(s, t, strict=True)], [x + y for x, y in zip(q, r, strict=True)])
+        shape[a], into[b] = _shape(left[a]), a
+        known = {pair: x for pair, x in known.items() if b not in pair}
+        known |= {(min(a, c), max(a, c)): far(min(a, c), max(a, c)) for c in left if c != a}
+    return sorted(left.values()), into
+
+
+def _into_discard(compressed: list[tuple], discard_set: list[tuple], limit: float) -> dict[int, int]:
+    """For each compressed summary the nearest discard one within the limit, -1 without."""
+    shapes = [(s[0], *_shape(s)) for s in discard_set]
+    out = {}
+    for summary in compressed:
+        centre = _shape(summary)[0]
+        near = min(((_apart((centre - c) ** 2, std * std), cid) for cid, c, std in shapes), default=(np.inf, -1))
+        out[summary[0]] = near[1] if near[0] < limit else -1
+    return out
