@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marl.operators import sketches
-from marl.sources.shared import scratch
+from marl.sources.shared import cut, scratch
 
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -49,8 +49,68 @@ def first_seen(df: DataFrame) -> DataFrame:
 
 def flajolet_martin(df: DataFrame, size: int = 100) -> DataFrame:
     """The estimates by batch of `size` events; in a stream, batches are updated as they fill."""
-    numbered = df.select(F.col("event_id").alias("seq"), "user_id", F.floor(F.col("event_id") / size).cast("long").alias("batch_id"))
-    return sketches.flajolet_martin(numbered)
+    return sketches.flajolet_martin(arrivals(df, size))
+
+
+def arrivals(df: DataFrame, size: int = 100) -> DataFrame:
+    """Events as the sketches take them: (seq, user_id, batch_id)."""
+    return df.select(F.col("event_id").alias("seq"), "user_id", F.floor(F.col("event_id") / size).cast("long").alias("batch_id"))
+
+
+def bloom(df: DataFrame, home: str | None = None) -> DataFrame:
+    """(batch_id, false_positives, n, rate) of a stream of (seq, user_id, batch_id), over all that is there.
+
+    State between micro-batches: when each bit was set, and when each user was first seen. A micro-batch is judged by
+    the state before it and itself, so the result doesn't depend on where the stream was cut. With `home`, a folder,
+    a later run goes on where the last one ended.
+    """
+
+    def step(rows: DataFrame, before: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+        bits = sketches.first_bits(rows).unionByName(before["bits"]).groupBy("bit").agg(F.min("first").alias("first"))
+        users = sketches.first_arrivals(rows).unionByName(before["users"]).groupBy("user_id").agg(F.min("first_seen").alias("first_seen"))
+        here = users.join(rows.select("user_id").distinct(), "user_id", "left_semi")
+        return sketches.bloom_judged(rows, bits, here), {"bits": bits, "users": users}
+
+    kinds = {"bits": "bit long, first long", "users": f"user_id {dict(df.dtypes)['user_id']}, first_seen long"}
+    made = _stepped(df, step, "batch_id long, false_positives long, n long", kinds, home)
+    return sketches.with_rate(made.groupBy("batch_id").agg(F.sum("false_positives").alias("false_positives"), F.sum("n").alias("n")))
+
+
+def reservoir(df: DataFrame, home: str | None = None) -> DataFrame:
+    """The snapshots of `sketches.reservoir` from a stream; state is the last owner of each shown slot."""
+    slots, kind = [f"slot{s}" for s in sketches.SHOWN], dict(df.dtypes)["user_id"]
+
+    def step(rows: DataFrame, before: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+        owners = sketches.slot_owners(rows).unionByName(before["owners"])
+        return sketches.snapshots(rows, owners), {"owners": sketches.last_owners(owners)}
+
+    kinds = {"owners": f"slot long, batch_id long, taken_at long, owner {kind}"}
+    made = _stepped(df, step, f"batch_id long, seq long, {', '.join(f'{s} {kind}' for s in slots)}", kinds, home)
+    last = made.groupBy("batch_id").agg(F.max_by(F.struct("seq", *slots), "seq").alias("last"))  # a batch may span micro-batches
+    return last.select("batch_id", "last.*")
+
+
+Step = Callable[[DataFrame, dict[str, DataFrame]], tuple[DataFrame, dict[str, DataFrame]]]
+
+
+def _stepped(df: DataFrame, step: Step, schema: str, kinds: dict[str, str], home: str | None) -> DataFrame:
+    """Runs a stream through `step` (rows, state) -> (result, new state); all results so far.
+
+    A micro-batch's result and state are written under its number, so one that is repeated writes the same again.
+    """
+    spark, home = df.sparkSession, home or scratch(df.sparkSession, "stream")
+
+    def batch(rows: DataFrame, number: int) -> None:
+        before = {name: spark.read.schema(kind).parquet(f"{home}/{name}/at={number - 1}") if number else spark.createDataFrame([], kind) for name, kind in kinds.items()}
+        made, new = step(cut(rows, "micro-batch"), before)
+        for name, table in new.items():
+            table.write.mode("overwrite").parquet(f"{home}/{name}/at={number}")
+        made.write.mode("overwrite").parquet(f"{home}/result/at={number}")
+
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{home}/result/at=-1")  # so that a stream without rows reads as none
+    query = df.writeStream.foreachBatch(batch).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{home}/result")
 
 
 def run_once(df: DataFrame, mode: str = "append") -> DataFrame:
