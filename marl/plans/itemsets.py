@@ -55,9 +55,8 @@ def frequent_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def son_local_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidates of one and two items, as the SQL has them; `son_frequent` mines every size."""
     pairs = _pairs(spark, sf_dir)
-    return _shown(its.local_candidates(pairs, _least(pairs, SUPPORT), PARTS, 2))
+    return _shown(its.local_candidates(pairs, _least(pairs, SUPPORT), PARTS))
 
 
 def son_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,20 +80,31 @@ _N = "total AS (SELECT count(DISTINCT basket) AS n FROM pairs)"
 
 
 def _frequent(size: int, share: float) -> str:
+    return f"SELECT {_items(size)} AS items, count(*) AS n FROM {_joined(size)} GROUP BY 1 HAVING count(*) >= (SELECT ceil({share} * n) FROM total)"
+
+
+#: Sizes that the SQL counts sets up to; the queries mine until a level is empty.
+_SIZES = 4
+
+
+def _joined(size: int) -> str:
     names = [f"p{i}" for i in range(size)]
-    items = " || ',' || ".join(f"{n}.item" for n in names)
-    joins = f"pairs {names[0]}" + "".join(f" JOIN pairs {b} ON {a}.basket = {b}.basket AND {a}.item < {b}.item" for a, b in zip(names, names[1:], strict=False))
-    return f"SELECT {items} AS items, count(*) AS n FROM {joins} GROUP BY 1 HAVING count(*) >= (SELECT ceil({share} * n) FROM total)"
+    return f"pairs {names[0]}" + "".join(f" JOIN pairs {b} ON {a}.basket = {b}.basket AND {a}.item < {b}.item" for a, b in zip(names, names[1:], strict=False))
+
+
+def _items(size: int) -> str:
+    return " || ',' || ".join(f"p{i}.item" for i in range(size))
+
+
+def _some(largest: int) -> str:
+    return " UNION ALL ".join(f"SELECT {n} AS size, items, n FROM ({_frequent(n, SUPPORT)})" for n in range(1, largest + 1))
 
 
+_FOUND = "\n  UNION ".join(f"SELECT {n} AS size, {_items(n)} AS items FROM {_joined(n)} JOIN local ON p0.basket % {PARTS} = pid GROUP BY pid, least, {_items(n)} HAVING count(*) >= least" for n in range(1, _SIZES + 1))
 _LOCAL = f"""local AS (
   SELECT basket % {PARTS} AS pid, ceil((SELECT ceil({SUPPORT} * n) FROM total) * count(DISTINCT basket) / (SELECT n FROM total)) AS least
   FROM pairs GROUP BY 1),
-found AS (
-  SELECT 1 AS size, item AS items FROM pairs JOIN local ON basket % {PARTS} = pid GROUP BY pid, least, item HAVING count(*) >= least
-  UNION SELECT 2, a.item || ',' || b.item FROM pairs a JOIN pairs b ON a.basket = b.basket AND a.item < b.item JOIN local ON a.basket % {PARTS} = pid
-  GROUP BY pid, least, a.item, b.item HAVING count(*) >= least)"""
-_BOTH = f"SELECT 1 AS size, items, n FROM ({_frequent(1, SUPPORT)}) UNION ALL SELECT 2, items, n FROM ({_frequent(2, SUPPORT)})"
+found AS ({_FOUND})"""
 _CODE = "list_sum(list_transform(string_split({}, ''), lambda c: ascii(c)))"
 
 ORACLES = {
@@ -104,7 +114,7 @@ ORACLES = {
     "frequent_pairs": with_(BASKETS, _N) + _frequent(2, SUPPORT),
     "frequent_triples": with_(BASKETS, _N) + _frequent(3, TRIPLE_SUPPORT),
     "son_local_candidates": with_(BASKETS, _N, _LOCAL) + "SELECT DISTINCT size, items FROM found",
-    "son_frequent": with_(BASKETS, _N) + _BOTH,
-    "fp_growth": with_(BASKETS, _N) + _BOTH + f" UNION ALL SELECT 3, items, n FROM ({_frequent(3, SUPPORT)})",
+    "son_frequent": with_(BASKETS, _N) + _some(_SIZES),
+    "fp_growth": with_(BASKETS, _N) + _some(_SIZES),
     "pair_bucket_counts": with_(BASKETS) + f"SELECT (({_CODE.format('a.item')} + {_CODE.format('b.item')}) % 1000)::INT AS bucket, count(*) AS n FROM pairs a JOIN pairs b ON a.basket = b.basket AND a.item < b.item GROUP BY 1",
 }

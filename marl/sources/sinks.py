@@ -28,13 +28,19 @@ def itemset_report(itemsets: DataFrame, path: str) -> None:
 
 
 def member_lines(df: DataFrame, members: str, path: str) -> None:
-    """One community a line, its members quoted and joined by blanks and commas."""
+    """One community a line, its members quoted and joined by commas and blanks."""
     df.select(F.concat(F.lit("'"), F.array_join(members, "', '"), F.lit("'")).alias("value")).write.mode("overwrite").text(path)
 
 
+def edge_lines(df: DataFrame, path: str, value: str = "betweenness") -> None:
+    """One edge a line, its ends as a pair of quoted names, a comma and its number."""
+    pair = F.concat(F.lit("('"), F.col("src").cast("string"), F.lit("', '"), F.col("dst").cast("string"), F.lit("'), "))
+    df.select(F.concat(pair, F.col(value).cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
 def stream_metrics(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """A streaming result as parquet, exactly once."""
-    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """A streaming result as CSV with a header, exactly once."""
+    return df.writeStream.format("csv").option("header", True).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def metrics(actual: Column, predicted: Column, df: DataFrame) -> DataFrame:
