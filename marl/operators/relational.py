@@ -55,6 +55,11 @@ def partition_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("items"))
 
 
+def partition_count(df: DataFrame) -> DataFrame:
+    """One row: how many partitions the rows lie in, empty ones too."""
+    return df.sparkSession.createDataFrame([(df.rdd.getNumPartitions(),)], "partitions int")
+
+
 def word_count(df: DataFrame, text: str) -> DataFrame:
     """(word, n) of the pieces between single blanks; empty pieces count."""
     return df.select(F.explode(F.split(text, " ", -1)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))

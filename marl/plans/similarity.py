@@ -34,7 +34,7 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsh_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(sim.lsh_pairs(_sets(spark, sf_dir), THRESHOLD))
+    return _rounded(sim.lsh_pairs(_sets(spark, sf_dir), THRESHOLD)).orderBy("owner", "other")
 
 
 QUERIES = {f.__name__: f for f in (jaccard_exact, minhash_signatures, lsh_candidates, lsh_similar_pairs)}
