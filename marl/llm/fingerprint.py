@@ -231,7 +231,7 @@ def within(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int
         keys = F.array(*(F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)))
         return df.select("fp").where("fp is not null").distinct().select(F.col("fp").alias(name), F.explode(keys).alias("k")).select(name, "k.table", "k.bits")
 
-    joined = listed(queries, "query").join(listed(fps, "fp"), ["table", "bits"])
+    joined = listed(queries, "query").hint("merge").join(listed(fps, "fp"), ["table", "bits"])
     apart = F.col("query").bitwiseXOR(F.col("fp"))
     first = F.lit(True)
     for i, m in enumerate(masks):  # a pair that agrees in several tables is reported by the first
