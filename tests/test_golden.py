@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marl.functions import scalars
 from marl.operators import cluster, graph, itemsets, recommend, relational, similarity, sketches
 from marl.operators.ranking import dense_index
-from marl.plans import graphs
+from marl.streaming import streams
 from marl.plans import itemsets as plans
 from marl.sources import readers, sinks
 
@@ -264,7 +264,6 @@ def test_readers_and_sinks(spark, tmp_path):
 
 def test_streaming_equals_batch(spark, sf_dir):
     from marl.sources import tables
-    from marl.streaming import streams
 
     batch = tables.table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
     late = got(streams.run_once(streams.tumbling(streams.events(spark, sf_dir), late="1 hour")), "start", "event_type", "n")
@@ -273,6 +272,63 @@ def test_streaming_equals_batch(spark, sf_dir):
     assert got(streams.run_once(streams.first_seen(streams.events(spark, sf_dir)))) == got(batch.select("user_id").distinct())
 
 
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    """State outlives a run, wherever the stream is cut; string ids too."""
+    rng = random.Random(3)
+    rows = [(i, f"u{rng.randrange(60)}") for i in range(700)]
+    source, last = str(tmp_path / "in"), None
+    for end in (90, 430, 700):
+        begin = 0 if last is None else last
+        spark.createDataFrame(rows[begin:end], "event_id long, user_id string").coalesce(1).write.mode("append").parquet(source)
+        last = end
+        read = lambda: streams.arrivals(spark.readStream.schema("event_id long, user_id string").parquet(source))
+        so_far = streams.arrivals(spark.createDataFrame(rows[:end], "event_id long, user_id string"))
+        bloom = streams.bloom(read(), str(tmp_path / "bloom"))
+        assert got(bloom.select("batch_id", "false_positives", "n", "rate")) == got(sketches.bloom(so_far))
+        kept = streams.reservoir(read(), str(tmp_path / "reservoir"))
+        assert got(kept) == got(sketches.reservoir(so_far))
+
+
+def test_source_with_replacement(spark):
+    lines = spark.createDataFrame([(i, f"l{i}") for i in range(20)], "number long, value string")
+    made = readers.sampled_batches(lines, "number", 50, 4)
+    rows = got(made.select("seq", "batch_id", "value"))
+    assert [r[0] for r in rows] == list(range(200)) and all(r[1] == r[0] // 50 for r in rows)
+    assert rows == got(readers.sampled_batches(lines.repartition(3), "number", 50, 4).select("seq", "batch_id", "value"))
+    assert len({r[2] for r in rows}) > 15 and readers.sampled_batches(lines.limit(0), "number", 5, 2).count() == 0
+
+
+def test_strip_end(spark):
+    df = spark.createDataFrame([("1100",), ("a\n",), ("0",)], "t string")
+    assert [r[0] for r in df.select(scalars.strip_end(F.col("t"), "0")).collect()] == ["11", "a\n", ""]
+    assert df.select(scalars.strip_end(F.col("t"), "\r\n")).collect()[1][0] == "a"
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from marl.sources import shared
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Cluster)
+
+
+def test_written_tables_can_be_discarded(spark):
+    from marl.sources import shared
+
+    made, kept = shared.cut(spark.range(3)), shared.cut(spark.range(4))
+    path = made.inputFiles()[0].removeprefix("file:").lstrip("/")
+    shared.discard(made, made, spark.range(1))
+    import os
+
+    assert not os.path.exists("/" + path) and kept.count() == 4
+
+
 def test_written_tables_can_be_forgotten(spark):
     from marl.sources import shared
 
