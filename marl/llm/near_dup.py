@@ -41,7 +41,7 @@ SEED = 42
 PIVOTS = 16
 #: Rows of a bucket above which it is divided again.
 DENSE = 2048
-#: Rows that a search task gathers at most before it compares them (whole buckets only).
+#: Rows of the largest bucket that a task may gather; a task holds twice as many rows at most, in whole buckets.
 GATHER = 400_000
 
 _digest = xxhash.xxh64_intdigest
@@ -212,9 +212,12 @@ def _divided(fp: np.ndarray, far: np.ndarray, bits: list[int], radius: int) -> I
             yield from _divided(f[rows], d[rows], [b for b in bits if b not in taken], radius)
 
 
-def _searched(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, fp, far0, far1) sorted by (kind, key): whole buckets are compared, GATHER rows at a time."""
-    masks = [m for _, m in bucket_masks(radius)]
+def _bits_of(mask: int) -> list[int]:
+    return [b for b in range(64) if mask >> b & 1]
+
+
+def _searched(batches: Iterator[pa.RecordBatch], radius: int, gather: int) -> Iterator[pa.RecordBatch]:
+    """Rows (mask, key, fp, far0, far1) sorted by (mask, key): whole buckets are compared, `gather` rows or more at a time."""
     held: list[np.ndarray] = []
     total = 0
 
@@ -222,13 +225,14 @@ def _searched(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         if not len(rows):
             return
         far = np.ascontiguousarray(rows[:, 3:]).view(np.uint8).astype(np.int8)
-        for u, v in links_in(rows[:, 1], rows[:, 0], rows[:, 2].view(np.uint64).copy(), far, masks, radius):
+        masks, kind = np.unique(rows[:, 0], return_inverse=True)
+        for u, v in links_in(rows[:, 1], kind, rows[:, 2].view(np.uint64).copy(), far, [_bits_of(int(m)) for m in masks], radius):
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     for batch in common.rows_of(batches):
-        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("kind", "key", "fp", "far0", "far1")], axis=1))
+        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _ROW], axis=1))
         total += batch.num_rows
-        if total >= GATHER:
+        if total >= gather:
             rows = np.ascontiguousarray(np.concatenate(held))
             other = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
             cut = int(other[-1]) + 1 if len(other) else 0  # the last bucket may go on
@@ -238,13 +242,41 @@ def _searched(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         yield from compared(np.ascontiguousarray(np.concatenate(held)))
 
 
+_ROW = ("mask", "key", "fp", "far0", "far1")
+_ROWS = "mask long, key long, fp long, far0 long, far1 long"
+
+
+def _redivided(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Each row in the buckets into which its own is divided: one of the blocks of the bits left agrees too."""
+    for batch in common.rows_of(batches):
+        mask, fp = (batch.column(c).to_numpy() for c in ("mask", "fp"))
+        for own in np.unique(mask):
+            at = np.flatnonzero(mask == own)
+            agreed = set(_bits_of(int(own)))
+            rest = pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in _ROW[2:]], names=list(_ROW[2:]))
+            for block in blocks([b for b in range(64) if b not in agreed], radius + 1):
+                finer = np.int64(signed(mask_of([*agreed, *block])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), finer)), pa.array(fp[at] & finer), *rest.columns], names=list(_ROW))
+
+
 def links(tabled: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): links between fingerprints of a pivot table that connect each of its components."""
-    spark = tabled.sparkSession
-    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(mask_of(m))).cast("long")).alias("key")) for i, m in bucket_masks(radius)))
-    rows = tabled.select(F.explode(kinds).alias("b"), "fp", "far0", "far1").select("b.kind", "b.key", "fp", "far0", "far1")
-    spread = rows.repartition(common.partitions(spark), "kind", "key").sortWithinPartitions("kind", "key")
-    return spread.mapInArrow(lambda b: _searched(b, radius), "u long, v long")
+    n = common.partitions(tabled.sparkSession)
+    gather = max(GATHER, 1 << radius)  # b bits left make 2^b rows at most, so a crowded bucket has more than `radius` left
+    masks = F.array(*(F.lit(signed(mask_of(m))).cast("long") for _, m in bucket_masks(radius)))
+    rows = tabled.select(F.explode(masks).alias("mask"), "fp", "far0", "far1").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), *_ROW[2:])
+    found = None
+    while True:
+        crowded = common.materialise(rows.groupBy("mask", "key").count().where(F.col("count") > gather).select("mask", "key"), "crowded")
+        last = crowded.isEmpty()
+        whole = rows if last else rows.join(crowded.hint("merge"), ["mask", "key"], "left_anti")
+        spread = whole.repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
+        near = spread.mapInArrow(lambda b: _searched(b, radius, gather), "u long, v long")
+        found = near if found is None else found.unionByName(near)
+        if last:
+            return found
+        inside = rows.join(crowded.hint("merge"), ["mask", "key"], "left_semi").select(*_ROW)
+        rows = common.materialise(inside.mapInArrow(lambda b: _redivided(b, radius), _ROWS).dropDuplicates(["mask", "fp"]), "divided")
 
 
 def signed(x: int) -> int:

@@ -718,7 +718,7 @@ def test_near(spark, docs, small):
     assert ordered(pairs(kept)) == ordered((i, t) for i, t in every if (i, near_dup.signed(xxhash.xxh64_intdigest((t or "").encode(), 42))) in stay)
 
 
-@pytest.mark.parametrize("dense, gather", [(2048, 400_000), (4, 50)])
+@pytest.mark.parametrize("dense, gather", [(2048, 400_000), (4, 50), (4, 9)])
 def test_links_of_dense_groups(spark, monkeypatch, dense, gather):
     """Chains and balls of near fingerprints, with buckets divided again and again."""
     monkeypatch.setattr(near_dup, "DENSE", dense)
@@ -737,12 +737,14 @@ def test_links_of_dense_groups(spark, monkeypatch, dense, gather):
     masks = [m for _, m in near_dup.bucket_masks(3)]
     fp = np.array(prints, np.uint64)
     far = np.stack([votes.hamming(fp, r) for r in near_dup.references()], axis=1).astype(np.int8)
-    edges = set()
+    edges, most = set(), 0
     for kind, m in enumerate(masks):
         key = (fp & np.uint64(near_dup.mask_of(m))).view(np.int64)
+        most = max(most, np.unique(key, return_counts=True)[1].max())
         for u, v in near_dup.links_in(key, np.full(len(fp), kind), fp, far, masks, 3):
             edges |= set(zip(u.tolist(), v.tolist(), strict=True))
     assert all((a ^ b).bit_count() <= 3 * len(prints) for a, b in edges)
+    assert gather > 9 or most > 2 * gather  # the least bound is met by buckets that must be divided
     own = brute.groups(prints)
     made = dict((r["node"], r["root"]) for r in components.components(near_dup.links(table)).collect())
     by = {}
