@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,4 +50,18 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+    """The batches that have rows; before the first and after the last, what earlier ones freed goes back to the system."""
+    release()
+    yield from (b for b in batches if b.num_rows)
+    release()
+
+
+def release() -> None:
+    """Hands freed memory back to the system: workers idle between stages, beside others that need it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+#: glibc's; other C libraries keep no such reserve or have no such call.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
