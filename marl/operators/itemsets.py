@@ -43,24 +43,39 @@ def levels(pairs: DataFrame, enough: Column, largest: int | None, keys: list[str
     """For each size up to `largest`, or until a level is empty: (keys, items, n) with n enough. `keys`, columns of
     `pairs`, are mined apart.
 
-    `enough` is a condition on n. Occurrences grow by one item of the same basket at a time and only within
-    candidates, so a level moves what the last one left.
+    `enough` is a condition on n. A basket's frequent items meet once, in one array: with a support of a share of the
+    baskets, there are no more of them than the mean basket's size over that share, however large the tables. Each occurrence
+    of an itemset is a row that carries the basket's later items, so it grows in place; only counts are shuffled,
+    combined before.
     """
     keys = keys or []
     single = cut(pairs.groupBy(*keys, "item").agg(F.count("*").alias("n")).where(enough).select(*keys, F.array("item").alias("items"), "n"))
     found = [single]
     if largest == 1:
         return found
-    kept = cut(pairs.join(single.select(*keys, F.element_at("items", 1).alias("item")), [*keys, "item"], "left_semi"))
-    seen = kept.select(*keys, "basket", F.array("item").alias("items"))
+    often = pairs.join(single.select(*keys, F.element_at("items", 1).alias("item")), [*keys, "item"], "left_semi").where("basket is not null")
+    none = F.slice("rest", 1, 0).alias("items")
+    seen = _grown(often.groupBy(*keys, "basket").agg(F.array_sort(F.collect_list("item")).alias("rest")).select(*keys, none, "rest"), keys)
     while len(found) < largest if largest is not None else not found[-1].isEmpty():
-        candidates = _joined(found[-1], keys)
-        grown = seen.join(kept.withColumnRenamed("item", "more"), [*keys, "basket"]).where(F.col("more") > F.element_at("items", -1))
-        seen = cut(grown.select(*keys, "basket", F.concat("items", F.array("more")).alias("items")).join(candidates, [*keys, "items"], "left_semi"))
+        seen = cut(_within(seen.where(F.size("rest") > 0), found[-1], keys) if len(found) > 1 else seen.where(F.size("rest") > 0))
+        seen = _grown(seen, keys)
+        if len(found) > 1:  # of frequent items, every pair is a candidate
+            seen = _within(seen, cut(_joined(found[-1], keys)), keys)
         found.append(cut(seen.groupBy(*keys, "items").agg(F.count("*").alias("n")).where(enough)))
     return found if largest is not None or len(found) == 1 else found[:-1]
 
 
+def _grown(seen: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, items, rest): each itemset with each of the later items of its basket, and what comes after that one."""
+    each = seen.select(*keys, "items", "rest", F.posexplode("rest").alias("at", "more"))
+    return each.select(*keys, F.concat("items", F.array("more")).alias("items"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+
+
+def _within(seen: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
+    """The occurrences of these itemsets; a written table below the planner's threshold is broadcast."""
+    return seen.join(sets.select(*keys, "items"), [*keys, "items"], "left_semi")
+
+
 def frequent(pairs: DataFrame, support: int, largest: int) -> DataFrame:
     """(size, items, n) of itemsets in at least `support` baskets."""
     parts = [df.select(F.lit(i).alias("size"), "items", "n") for i, df in enumerate(levels(pairs, F.col("n") >= support, largest), 1)]
@@ -74,8 +89,9 @@ def local_candidates(pairs: DataFrame, support: int, parts: int, largest: int |
     """(size, items): itemsets frequent in one part at least, of any size unless `largest` is given; a part is basket
     mod `parts`, its support in proportion."""
     pid = F.pmod("basket", F.lit(parts)).alias("pid")
-    n = n_baskets(pairs)
-    local = pairs.select("basket").distinct().groupBy(pid).agg(F.ceil(F.lit(float(support)) * F.count("*") / F.lit(float(max(n, 1)))).alias("least"))
+    sizes = cut(pairs.select("basket").distinct().groupBy(pid).agg(F.count("*").alias("n")))
+    n = sizes.agg(F.sum("n")).first()[0]
+    local = sizes.select("pid", F.ceil(F.lit(float(support)) * F.col("n") / F.lit(float(n or 1))).alias("least"))
     keyed = pairs.select("basket", "item", pid).join(F.broadcast(local), "pid")  # `parts` rows
     found = levels(keyed, F.col("n") >= F.col("least"), largest, ["pid", "least"])
     made = [df.select(F.lit(i).alias("size"), "items") for i, df in enumerate(found, 1)]
@@ -86,9 +102,15 @@ def local_candidates(pairs: DataFrame, support: int, parts: int, largest: int |
 
 
 def count_candidates(pairs: DataFrame, candidates: DataFrame, support: int) -> DataFrame:
-    """(size, items, n) of the candidates in enough baskets: a basket holds a candidate if as many of its items match."""
-    wanted = candidates.select("size", "items", F.explode("items").alias("item"))
-    held = pairs.join(wanted, "item").groupBy("size", "items", "basket").agg(F.count("*").alias("hits")).where(F.col("hits") == F.col("size"))
+    """(size, items, n) of the candidates in enough baskets. Each candidate meets the baskets at its first item and is
+    looked for among their later ones, so no row is shuffled but counts, combined before.
+    """
+    candidates = cut(candidates)
+    known = candidates.select(F.explode("items").alias("item")).distinct()
+    lists = pairs.join(known, "item", "left_semi").groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("rest"))
+    starts = _grown(lists.select(F.slice("rest", 1, 0).alias("items"), "rest"), []).select(F.element_at("items", 1).alias("first"), "rest")
+    met = starts.join(candidates.withColumn("first", F.element_at("items", 1)), "first")
+    held = met.where(F.size(F.array_except(F.slice("items", 2, F.size("items")), "rest")) == 0)
     return held.groupBy("size", "items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
 
 
