@@ -69,6 +69,21 @@ def test_itemsets_brute_force(spark):
     assert all(sub in found for s in found if len(s) > 1 for sub in itertools.combinations(s, len(s) - 1))
 
 
+def test_candidates_of_any_shape(spark):
+    """Candidates need no subset beside them; a null basket is a basket to the count and none to the levels above one item."""
+    rng = random.Random(8)
+    baskets = {i: set(rng.sample("abcdefg", rng.randint(1, 6))) for i in range(30)} | {None: set("abcdefg")}
+    pairs = spark.createDataFrame([(i, x) for i, b in baskets.items() for x in sorted(b)], "basket long, item string")
+    asked = ["g", "ac", "bdf", "az", "abcdefg"]
+    candidates = spark.createDataFrame([(len(c), list(c)) for c in asked], "size int, items array<string>")
+    wanted = sorted((len(c), list(c), n) for c in asked if (n := sum(set(c) <= b for b in baskets.values())))
+    assert got(itemsets.count_candidates(pairs, candidates, 1)) == wanted
+    assert itemsets.count_candidates(pairs, candidates.limit(0), 1).count() == 0
+    held = lambda c: sum(set(c) <= b for i, b in baskets.items() if i is not None)
+    found = got(itemsets.levels(pairs, F.col("n") >= 1, 3)[2], "items", "n")
+    assert found == sorted((list(c), held(c)) for c in itertools.combinations("abcdefg", 3) if held(c))
+
+
 def test_son_has_no_largest_size(spark, monkeypatch):
     rng = random.Random(6)
     baskets = {i: set(rng.sample("abcdefgh", rng.randint(1, 6))) for i in range(40)} | {40: set("abcd"), 41: set("efgh")}
