@@ -45,8 +45,8 @@ def levels(pairs: DataFrame, enough: Column, largest: int | None, keys: list[str
 
     `enough` is a condition on n. A basket's frequent items meet once, in one array: with a support of a share of the
     baskets, there are no more of them than the mean basket's size over that share, however large the tables. Each occurrence
-    of an itemset is a row that carries the basket's later items, so it grows in place; only counts are shuffled,
-    combined before.
+    of an itemset is a row that carries the basket's later items, so it grows in place. Items are shuffled once, by basket;
+    after that only counts are, combined before, while a level's sets are below the planner's broadcast threshold.
     """
     keys = keys or []
     single = cut(pairs.groupBy(*keys, "item").agg(F.count("*").alias("n")).where(enough).select(*keys, F.array("item").alias("items"), "n"))
@@ -103,7 +103,8 @@ def local_candidates(pairs: DataFrame, support: int, parts: int, largest: int |
 
 def count_candidates(pairs: DataFrame, candidates: DataFrame, support: int) -> DataFrame:
     """(size, items, n) of the candidates in enough baskets. Each candidate meets the baskets at its first item and is
-    looked for among their later ones, so no row is shuffled but counts, combined before.
+    looked for among their later ones. Items are shuffled once, by basket, and then only counts, combined before, while the
+    candidates are below the planner's broadcast threshold; beyond it the join is by first item, hot ones split by AQE.
     """
     candidates = cut(candidates)
     known = candidates.select(F.explode("items").alias("item")).distinct()
